@@ -6,8 +6,8 @@ has BANDS bands of ROWS minima over its five-word shingles: similarity 0.8 is re
 0.999964, and a window that lies inside a text of the template equals one of the template's windows and is always retrieved. A template matches
 where at least CONTAINMENT of its distinct shingles occur in the text around the window.
 
-Only windows with an anchor are signed: every shingle of every template has an anchor word, so a window without one shares no
-shingle with any template. Templates are a fixed list, given as a parameter; their bands (BOUND at most) are sent to all tasks. Documents are neither
+Only windows that share a shingle with some template are signed, as others have no minimum in common with any; shingles are looked at
+only near anchors (every shingle of every template has an anchor word). Templates are a fixed list, given as a parameter; their bands (BOUND at most) are sent to all tasks. Documents are neither
 shuffled nor grouped, but for the few windows that match.
 
 Defined results: null or empty text matches nothing and has an empty array; a null doc_id stays (such rows are one document here); rows with one doc_id have their
@@ -97,18 +97,21 @@ def matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment:
     """doc_id, template, start (word of the first window), containment: the verified matches of docs (doc_id, text), one row for each document and template."""
     most = max((len(_python_words(t)) for t in templates.values()), default=0)
     widest = max(w for w, _ in CLASSES)
-    words = docs.select("doc_id", F.split(F.trim(F.regexp_replace(F.lower(F.col("text")), _WORDS, " ")), " ").alias("words")).filter(F.size("words") >= SHINGLE)
-    places = F.filter(F.transform("words", lambda w, i: F.when(w.isin(anchors(templates)), i)), lambda i: i.isNotNull())
-    near = words.withColumn("at", places).filter(F.size("at") > 0)
+    words = docs.select("doc_id", F.split(F.trim(F.regexp_replace(F.lower(F.col("text")), _WORDS, " ")), " ").alias("words"))
+    anchor = anchors(templates)
+    shared = sorted({x for t in templates.values() for x in _shingles(_python_words(t))})
+    places = F.filter(F.transform("words", lambda w, i: F.when(w.isin(anchor), i)), lambda i: i.isNotNull())
+    near = F.array_distinct(F.flatten(F.transform(F.col("at"), lambda p: F.sequence(F.greatest(p - SHINGLE + 1, F.lit(0)), p))))
+    #: Places of shingles that some template has; a window without one has no minimum in common with any template.
+    near = F.filter(near, lambda i: F.array_join(F.slice("words", i + 1, SHINGLE), " ").isin(shared))
+    rows = words.withColumn("at", places).withColumn("at", near)
     starts = None
     for width, step in CLASSES:
-        first = lambda p, w=width, s=step: F.greatest(F.ceil((p - w + 1) / s) * s, F.lit(0)).cast("int")
-        grid = F.array_distinct(F.flatten(F.transform(F.col("at"), _grid(first, width, step))))
-        fits = F.transform(F.filter(grid, _fits(width)), _tag(width))
+        grid = F.array_distinct(F.flatten(F.transform(F.col("at"), _grid(width, step))))
+        fits = F.transform(F.filter(grid, _fits(width)), _cut(width, most, widest))
         starts = fits if starts is None else F.concat(starts, fits)
-    windows = near.withColumn("w", F.explode(starts)).select("doc_id", F.col("w.start").alias("start"), F.col("w.width").alias("width"), "words")
-    begin = F.greatest(F.col("start") - most, F.lit(0))
-    windows = windows.select("doc_id", "start", "width", F.slice("words", begin + 1, F.lit(2 * most + widest)).alias("around"), F.when(F.col("start") > most, most).otherwise(F.col("start")).alias("inside"))
+    #: explode would add a filter on its array, which is pushed below and has the words cut twice; explode_outer adds none.
+    windows = rows.select("doc_id", F.explode_outer(starts).alias("w")).filter(F.col("w").isNotNull()).select("doc_id", "w.*")
     keys = None
     for width, _ in CLASSES:
         keys = F.when(F.col("width") == width, _bands(F.col("around"), F.col("inside"), width)) if keys is None else keys.when(F.col("width") == width, _bands(F.col("around"), F.col("inside"), width))
@@ -116,21 +119,23 @@ def matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment:
     found = windows.withColumn("band", F.explode(keys)).join(F.broadcast(known), "band")
     here = F.transform(F.sequence(F.lit(1), F.greatest(F.size("around") - SHINGLE + 1, F.lit(1))), lambda i: F.array_join(F.slice("around", i, SHINGLE), " "))
     share = F.size(F.array_intersect("shingles", here)) / F.size("shingles")
-    found = found.dropDuplicates(["doc_id", "template", "start"]).withColumn("containment", share).filter(F.col("containment") >= containment)
+    found = found.withColumn("containment", share).filter(F.col("containment") >= containment)
     return found.groupBy("doc_id", "template").agg(F.min("start").alias("start"), F.max("containment").alias("containment"))
 
 
-def _grid(first, width, step):
-    #: Starts of the grid's windows that hold place p: multiples of step in [p - width + 1, p].
-    return lambda p: F.sequence(first(p), (F.floor(p / step) * step).cast("int"), F.lit(step))
+def _grid(width, step):
+    #: Starts of the grid's windows that hold the shingle at place p: multiples of step in [p + SHINGLE - width, p].
+    return lambda p: F.sequence(F.greatest(F.ceil((p + SHINGLE - width) / step) * step, F.lit(0)).cast("int"), F.greatest(F.floor(p / step) * step, F.ceil((p + SHINGLE - width) / step) * step, F.lit(0)).cast("int"), F.lit(step))
 
 
 def _fits(width):
     return lambda s: s + width <= F.size("words")
 
 
-def _tag(width):
-    return lambda s: F.struct(s.cast("int").alias("start"), F.lit(width).alias("width"))
+def _cut(width, most, widest):
+    #: The window, and the words around it in which a template that it belongs to must lie.
+    return lambda s: F.struct(
+        s.cast("int").alias("start"), F.lit(width).alias("width"), F.slice("words", F.greatest(s - most, F.lit(0)) + 1, F.lit(2 * most + widest)).alias("around"), F.least(s, F.lit(most)).cast("int").alias("inside"))
 
 
 def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:

@@ -36,17 +36,20 @@ def _let(value: Column, body) -> Column:
 
 def repeated_words(words: Column, k: int = 5) -> Column:
     """Number of words in k-word windows found twice or more in the array, the first included."""
-    starts = F.sequence(F.lit(1), F.size(words) - (k - 1))
-    windows = F.transform(starts, lambda i: F.array_join(F.slice(words, i, k), " "))
+    #: Hashes of windows: without two equal ones no two windows are equal. Where two are, the words are compared.
+    hashes = F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(k))))
 
-    def counted(w):
-        ordered = F.array_sort(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("i"))))
+    def same(a, b):
+        return (a["h"] == b["h"]) & (F.slice(words, a["i"] + 1, k) == F.slice(words, b["i"] + 1, k))
+
+    def counted(h):
+        ordered = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         again = _let(ordered, lambda s: F.array_sort(F.transform(F.filter(
-            F.transform(s, lambda x, j: F.when((x["w"] == F.get(s, j - 1)["w"]) | (x["w"] == F.get(s, j + 1)["w"]), x["i"])), lambda i: i.isNotNull()), lambda i: i)))
+            s, lambda x, j: same(x, F.get(s, j - 1)) | same(x, F.get(s, j + 1))), lambda x: x["i"])))
         return _let(again, lambda p: F.aggregate(
             F.zip_with(p, F.slice(p, F.lit(2), F.size(p)), lambda a, b: F.coalesce(F.least(b - a, F.lit(k)), F.lit(k))), F.lit(0), lambda s, x: s + x))
 
-    covered = _let(windows, lambda w: F.when(F.size(F.array_distinct(w)) < F.size(w), counted(w)).otherwise(0))
+    covered = _let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), counted(h)).otherwise(0))
     return F.when(F.size(words) > k, covered).otherwise(0).cast("long")
 
 
