@@ -1,10 +1,12 @@
 """All queries by name, and their SQL."""
 from __future__ import annotations
 
+from . import queries as q
+
 
 def queries() -> dict:
-    return {}
+    return dict(q.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(q.SQL)
