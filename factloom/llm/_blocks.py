@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Spaces that separate words: 0x20 and 0x09-0x0D, which is what bytes.split() cuts at.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one block of rows holds at most (a longer text is a block of its own).
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 _CACHE_WORDS = 1_000_000
 
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -109,7 +109,7 @@ def pack(*parts: bytes | np.ndarray) -> bytes:
     """Parts as one compressed blob."""
     raw = [p.tobytes() if isinstance(p, np.ndarray) else p for p in parts]
     head = np.array([len(raw), *map(len, raw)], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([head, *raw]))
+    return zstandard.ZstdCompressor(level=5).compress(b"".join([head, *raw]))
 
 
 def unpack(blob: bytes) -> list[memoryview]:

@@ -22,6 +22,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ WINDOW = 20
 GRAM = 3
 HOT_SHARE = 1 / 2048
 #: Words whose windows one bucket holds on average.
-BUCKET_WORDS = 1_200_000
+BUCKET_WORDS = 400_000
 _NONE = 2**63 - 1
 
 
@@ -224,35 +225,39 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_buckets(window), "doc long, tag long, low int, high int")
 
 
+def _zip(batches):
+    """Texts compressed one by one, which halves what the join with their spans moves."""
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    for b in batches:
+        texts = [None if t is None else squeeze(t) for t in B.binary(b.column("text"))]
+        yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").cast(pa.int64()), "doc": b.column("doc"), "tag": b.column("tag"), "zipped": pa.array(texts, pa.binary())})
+
+
 def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Each row of docs (doc_id, text) with its repeated spans: doc_id, text, spans array<struct<low,high>> or null."""
+    """Each row of docs (doc_id, text) with its repeated spans: doc_id, zipped (zstd of the text), spans array<struct<low,high>> or null."""
     spans = repeated_spans(docs, window).groupBy("doc", "tag").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    rows = docs.select("doc_id", *_keyed(docs).columns[:0], F.col("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc"), F.xxhash64("text").alias("tag"))
-    return rows.join(spans, ["doc", "tag"], "left").select("doc_id", "text", "spans")
+    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc"), F.xxhash64("text").alias("tag"), "text")
+    return rows.mapInArrow(_zip, "doc_id long, doc long, tag long, zipped binary").join(spans, ["doc", "tag"], "left").select("doc_id", "zipped", "spans")
 
 
-def _kept_words(text: bytes | None, spans) -> tuple[int, int, bytes, bool]:
+def _kept_words(text: bytes | None, spans) -> tuple[int, int, bytes]:
+    """Words, removed words, and the kept ones joined by one space."""
     words = text.split() if text else []
     if spans is None:
-        return len(words), 0, b" ".join(words), False
+        return len(words), 0, b" ".join(words)
     gone = np.zeros(len(words) + 1, np.int64)
     for s in spans:
         gone[s["low"]] += 1
         gone[s["high"]] -= 1
     out = np.cumsum(gone[:-1]) > 0
-    return len(words), int(out.sum()), b" ".join([w for w, o in zip(words, out.tolist(), strict=True) if not o]), True
+    return len(words), int(out.sum()), b" ".join([w for w, o in zip(words, out.tolist(), strict=True) if not o])
 
 
 def _digest(batches):
-    for columns, texts in B.blocks(batches):
-        found = [_kept_words(t, s) for t, s in zip(texts, columns["spans"].to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_pydict({"doc_id": columns["doc_id"].cast(pa.int64()), "n_words": pa.array([x[0] for x in found], pa.int64()), "n_removed": pa.array([x[1] for x in found], pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x[2]).hexdigest() for x in found], pa.string())})
-
-
-def _rewrite(batches):
-    for columns, texts in B.blocks(batches):
-        kept = [(_kept_words(t, s)[2].decode() if s else None) for t, s in zip(texts, columns["spans"].to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_pydict({"doc_id": columns["doc_id"].cast(pa.int64()), "old": pa.array([None if t is None else t.decode() for t in texts], pa.string()), "new": pa.array(kept, pa.string())})
+    plain = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        found = [_kept_words(plain(t) if t else None, s) for t, s in zip(batch.column("zipped").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_words": pa.array([x[0] for x in found], pa.int64()), "n_removed": pa.array([x[1] for x in found], pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x[2]).hexdigest() for x in found], pa.string())})
 
 
 def dedup_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
