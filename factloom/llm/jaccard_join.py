@@ -9,9 +9,9 @@
    required overlap meet there.
 3. *Answers.* In a posting list, sorted by size and read in blocks of sizes that can link at all, the first set of a block
    is its leader; others are compared with the leader only. A set that links takes over the leader's component,
-   which is its answer as far as components go; it is not compared within its component again. What is left in
-   a list with more than one component goes on to the next round: small lists and small rests in full, others with the next leader.
-   Lists end when they lie in one component or all pairs across components were compared, so no link is lost.
+   which is its answer as far as components go; it is not compared within its component again. A list with more than one
+   component goes on to the next round, where each set outside the largest one meets TRIES others; after ROUNDS rounds
+   what is left is compared in full. Lists end when they lie in one component or all pairs across components were compared, so no link is lost.
 
 Skew. Equal sets of a block of rows are sent once. Postings are numbers, sorted in bounded buckets. A group of copies has
 one class; a group of near copies gives about as many pairs as sets in each round.
@@ -34,10 +34,12 @@ from .components import components
 SHINGLE = 4
 PERCENT = 85
 #: Shingles that one bucket of the index holds on average.
-BUCKET_SHINGLES = 1_000_000
+BUCKET_SHINGLES = 500_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Lists with at most so many pairs across components are compared in full at once.
 FULL = 64
+#: Sets that one outside the largest component of a list meets in a round; full comparison follows after ROUNDS.
+TRIES, ROUNDS = 2, 4
 
 
 def _sets(texts, seen: B.WordHash, k: int):
@@ -242,7 +244,7 @@ def _pairs(percent: int, turn: int, last: bool):
         return others[fit & (most * (100 + percent) >= percent * (n[i] + n[others]))]
 
     def run(batches):
-        out_a, out_b = [], []
+        out_a, out_b, told = [], [], set()  # told: pairs that this task has given
         for x in _lists(batches):
             size = len(x["cls"])
             if size < 2 or (x["root"] == x["root"][0]).all():
@@ -251,13 +253,20 @@ def _pairs(percent: int, turn: int, last: bool):
             roots, number, many = np.unique(x["root"], return_inverse=True, return_counts=True)
             small = np.flatnonzero(number != many.argmax())
             pairs = []
-            if last or (turn and len(small) * size <= FULL * max(8, size)) or size * (size - 1) <= FULL:
+            if last or len(small) * size <= FULL:
                 for i in small.tolist():
                     later = (number == many.argmax()) | (everyone > i)
                     pairs += [(i, j) for j in across(x, i, everyone[later]).tolist()]
+            elif turn:  # each set outside the largest component meets some others, of which most have many answers
+                for i in small.tolist():
+                    others = across(x, i, everyone)
+                    if len(others):
+                        at = int(x["cls"][i] ^ x["token"][0]) + turn * TRIES
+                        pairs += [(i, int(others[(at + k) % len(others)])) for k in range(min(TRIES, len(others)))]
+                out_a.append(int(x["token"][0]))
+                out_b.append(None)
             else:
-                lead = turn % size if turn else 0
-                reach = 0
+                lead = reach = 0
                 while lead < size:  # one leader for each block of sizes
                     stop = int(np.searchsorted(x["n"], int(x["n"][lead]) * 100 // percent, side="right"))
                     block = everyone[reach:stop]
@@ -267,8 +276,13 @@ def _pairs(percent: int, turn: int, last: bool):
                 out_b.append(None)
             c = x["cls"]
             for i, j in pairs:
-                out_a.append(int(min(c[i], c[j])))
-                out_b.append(int(max(c[i], c[j])))
+                pair = int(min(c[i], c[j])), int(max(c[i], c[j]))
+                if pair not in told:
+                    told.add(pair)
+                    out_a.append(pair[0])
+                    out_b.append(pair[1])
+            if len(told) > 500_000:
+                told.clear()
             if len(out_a) > 20_000:
                 yield pa.RecordBatch.from_pydict({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
                 out_a, out_b = [], []
@@ -321,26 +335,41 @@ def _answers(sets: DataFrame, percent: int) -> DataFrame | None:
     lists = sets.mapInArrow(_postings(percent), "token long, cls long, n int, pos int")
     shared = lists.groupBy("token").agg(F.count("*").alias("many")).filter("many > 1").select("token")
     lists = B.checkpointed(lists.join(shared, "token"))
-    links, roots, turn = None, None, 0
+    links, roots, done, turn = None, None, None, 0
     while True:
         now = lists.withColumn("root", F.col("cls"))
         if roots is not None:
             now = lists.join(roots.select(F.col("node").alias("cls"), F.col("root").alias("r")), "cls", "left").select("token", "cls", "n", "pos", F.coalesce("r", "cls").alias("root"))
-        found = now.repartition("token").sortWithinPartitions("token", "n", "cls").mapInArrow(_pairs(percent, turn, turn >= 6), "a long, b long")
-        found = B.checkpointed(found.groupBy("a", "b").agg(F.count("*").alias("times")))
+        found = now.repartition("token").sortWithinPartitions("token", "n", "cls").mapInArrow(_pairs(percent, turn, turn >= ROUNDS), "a long, b long")
+        found = B.checkpointed(found.distinct())
         pairs = found.filter("b is not null")
-        side = lambda x: sets.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"))
-        new = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(percent), "u long, v long")
+        if done is not None:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        new = _compare(pairs, sets, percent)
         links = B.checkpointed(new if links is None else links.union(new))
         if not links.isEmpty():
             roots = components(links)
         rest = found.filter("b is null").select(F.col("a").alias("token"))
         if rest.isEmpty():
             return roots
+        done = pairs if done is None else done.union(pairs)
         lists = B.checkpointed(lists.join(rest, "token", "left_semi"))
         turn += 1
 
 
+#: Ids of sets that are sent to all tasks at most, to leave other sets out before the shuffle.
+SENT_IDS = 300_000
+
+
+def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """u, v: the pairs that link, by the size of their sets' intersection."""
+    ids = B.checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
+    few = ids.count() <= SENT_IDS
+    own = sets.join(F.broadcast(ids) if few else ids, "cls", "left_semi")
+    side = lambda x: own.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(percent), "u long, v long")
+
+
 def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """docs without the documents that are linked to one of a smaller doc_id (null last); columns stay.
 
