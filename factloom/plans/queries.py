@@ -286,9 +286,9 @@ def vector_topk(s, d):
     return _neighbours(s, d)
 
 
-@query(_SIMS + "SELECT query_id, CASE WHEN top >= 0.2 AND weight - second >= 0.05 THEN label END AS label, weight FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, label) AS t, coalesce(lead(weight) OVER (PARTITION BY query_id ORDER BY weight DESC, label), 0) AS second, max(best) OVER (PARTITION BY query_id) AS top FROM (SELECT query_id, label, round(sum(greatest(sim, 0)::DECIMAL(20,6))::DOUBLE, 6) AS weight, max(sim) AS best FROM r WHERE place <= 10 GROUP BY 1, 2)) WHERE t = 1")
+@query(_SIMS + "SELECT query_id, CASE WHEN top >= 0.2 AND weight - second >= 0.05 THEN label ELSE -1 END AS label, weight FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, label) AS t, coalesce(lead(weight) OVER (PARTITION BY query_id ORDER BY weight DESC, label), 0) AS second, max(best) OVER (PARTITION BY query_id) AS top FROM (SELECT query_id, label, round(sum(greatest(sim, 0)::DECIMAL(20,6))::DOUBLE, 6) AS weight, max(sim) AS best FROM r WHERE place <= 10 GROUP BY 1, 2)) WHERE t = 1")
 def knn_vote(s, d):
-    return R.vote(_neighbours(s, d).join(t(s, d, "embeddings").select("vec_id", "label"), "vec_id"), 0.2, 0.05)
+    return R.vote(_neighbours(s, d).join(t(s, d, "embeddings").select("vec_id", "label"), "vec_id"), 0.2, 0.05).withColumn("label", F.coalesce("label", F.lit(-1)))  # -1: abstains
 
 
 @query("SELECT label, dimension, count(*) AS n, round(sum(x::DECIMAL(20,8))::DOUBLE / count(*), 6) AS mean FROM (SELECT label, unnest(range(0, len(embedding)))::INT AS dimension, unnest(embedding) AS x FROM embeddings) GROUP BY 1, 2")
