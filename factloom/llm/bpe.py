@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import _blocks as B
 
 #: Words whose ids are made by higher-order functions and sent to tasks, at most.
-FREQUENT = 16_384
+FREQUENT = 8_192
 #: Longest of these words in bytes: the fold's steps grow with the square.
 FREQUENT_BYTES = 24
 _CACHE = 400_000
@@ -87,20 +87,20 @@ def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
-_SLOTS = 1 << 16
 _NO_RANK = 2**31 - 1
 
 
 def rank_literal(ranks: dict[bytes, int]):
     """(hex bytes column) -> rank column, by a literal of slots ';hex:rank;hex:rank;...', found by hash."""
-    slots = [""] * _SLOTS
+    size = 1 << max(4, len(ranks).bit_length())
+    slots = [""] * size
     for token, rank in ranks.items():
         key = token.hex().upper()
-        slots[xxhash.xxh64_intdigest(key, seed=42) % _SLOTS] += f";{key}:{rank}"
+        slots[xxhash.xxh64_intdigest(key, seed=42) % size] += f";{key}:{rank}"
     literal = F.split(F.lit(",".join(slots)), ",")
 
     def rank(key):
-        slot = F.get(literal, F.pmod(F.xxhash64(key), F.lit(_SLOTS)).cast("int"))
+        slot = F.get(literal, F.pmod(F.xxhash64(key), F.lit(size)).cast("int"))
         found = F.instr(slot, F.concat(F.lit(";"), key, F.lit(":")))
         value = F.substring_index(F.substr(slot, found + F.length(key) + 2), ";", 1).cast("int")
         return F.when(found > 0, value).otherwise(F.lit(_NO_RANK))
@@ -210,8 +210,14 @@ def frequent_words(docs: DataFrame, pattern: str, most: int = FREQUENT) -> DataF
 
 def known_words(docs: DataFrame, pattern: str, ranks: dict[bytes, int]) -> dict[str, list[int]]:
     """Ids of frequent words, at most FREQUENT of FREQUENT_BYTES each."""
-    spread = frequent_words(docs, pattern).select("word").repartition(docs.sparkSession.sparkContext.defaultParallelism, "word")
-    return {r["word"]: list(r["ids"]) for r in encode_words(spread, ranks).collect()}
+    words = [r["word"] for r in frequent_words(docs, pattern).collect()]
+    #: Only tokens inside these words can be looked up, so the literal holds no others.
+    inside = {x for w in map(str.encode, words) for i in range(len(w)) for j in range(i + 1, len(w) + 1) if (x := w[i:j]) in ranks}
+    if not words:
+        return {}
+    spark = docs.sparkSession
+    spread = spark.createDataFrame([(w,) for w in words], "word string").repartition(spark.sparkContext.defaultParallelism, "word")
+    return {r["word"]: list(r["ids"]) for r in encode_words(spread, {x: ranks[x] for x in inside}).collect()}
 
 
 def _digest(pattern, ranks, known):
