@@ -38,6 +38,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a narrow table that are worth a partition of their own, and partitions that a small one keeps.
+PART_ROWS, PARTS = 20_000, 12
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df checkpointed, in partitions of about PART_ROWS rows: a shuffle writes a block for each pair of partitions, however few rows they hold."""
+    df = checkpointed(df)
+    return df.coalesce(max(PARTS, df.count() // PART_ROWS))
+
+
 class WordHash(dict):
     """64-bit hash of a word's bytes, looked up once for each distinct word."""
 

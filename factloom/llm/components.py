@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._blocks import checkpointed
+from ._blocks import settled
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -14,17 +14,17 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     (small star). Both keep the graph connected and number of edges no larger; a star forest is the
     fixed point. Rounds grow with the logarithm of the number of nodes. Nulls and loops are dropped.
     """
-    now = checkpointed(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = settled(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
     for _ in range(most):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         #: A node that is its neighbours' least keeps them, as m is then the node itself.
-        large = large.filter("u <> v").distinct()
+        large = large.filter("u <> v").distinct().coalesce(2 * now.rdd.getNumPartitions())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        now = checkpointed(small.filter("u <> v").distinct())
+        now = settled(small.filter("u <> v").distinct())
         one = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(one) == state:
             break

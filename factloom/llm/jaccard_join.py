@@ -1,10 +1,10 @@
 """N-gram Jaccard join: documents linked by the overlap of their word shingles, with set-relation skipping.
 
 1. *Classes.* Documents with one shingle set are one class (by a 64-bit hash of the set's shingle hashes and its
-   size), so copies never become pairs. A shingle is a 55-bit hash; the chance that two differ unseen in a pair of
-   sets is below 1e-10 for a thousand shingles.
-2. *Index.* Each class's shingles go to buckets by hash; a bucket counts the classes of each shingle and returns the
-   shared ones (two classes or more). A class with fewer than 85 % shared shingles has no partner and leaves.
+   size), so copies never become pairs. A shingle is a hash of 40 bits and its bucket's number (44 bits or more, 62 on a
+   large corpus); two sets of a thousand shingles seem to share one too many with a chance of 1e-7 or less.
+2. *Index.* Each class's shingles go to buckets by hash; a bucket counts the classes of each shingle, one sub-range
+   of hashes after the other, and returns the shared ones (two classes or more). Buckets are large, as each repeats the class ids. A class with fewer than 85 % shared shingles has no partner and leaves.
    The rest order their shingles rarest first. Only a prefix of that order is indexed: two sets with the
    required overlap meet there.
 3. *Answers.* In a posting list, sorted by size and read in blocks of sizes that can link at all, the first set of a block
@@ -33,8 +33,8 @@ from .components import components
 
 SHINGLE = 4
 PERCENT = 85
-#: Shingles that one bucket of the index holds on average.
-BUCKET_SHINGLES = 500_000
+#: Shingles that one bucket of the index holds on average (packed), and shared ones that it returns at once.
+BUCKET_SHINGLES, SHARED_ROWS = 6_000_000, 1_000_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Lists with at most so many pairs across components are compared in full at once.
 FULL = 64
@@ -89,8 +89,8 @@ def _spread(k: int, buckets: int):
                 bucket = (tokens // np.uint64(step)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-                rest = (tokens - bucket.astype(np.uint64) * np.uint64(step)) >> np.uint64(max(0, step.bit_length() - 48))
-                low, high = rest.astype(np.uint32), (rest >> np.uint64(32)).astype(np.uint16)
+                rest = (tokens - bucket.astype(np.uint64) * np.uint64(step)) >> np.uint64(max(0, step.bit_length() - 40))
+                low, high = rest.astype(np.uint32), (rest >> np.uint64(32)).astype(np.uint8)
                 for b in np.flatnonzero(np.diff(cuts)).tolist():
                     rows = by[cuts[b] : cuts[b + 1]]
                     who, many = np.unique(of[rows], return_counts=True)
@@ -102,6 +102,52 @@ def _spread(k: int, buckets: int):
     return run
 
 
+def _shared(blobs, r: int):
+    """tok, cls, n, df of the shingles in sub-range r (of 16) that two classes or more have; None without one."""
+    parts = []
+    for blob in blobs:
+        _, who, sizes, many, low, high = (np.frombuffer(x, k) for x, k in zip(B.unpack(blob), (np.uint8, np.int64, np.int32, np.int32, np.uint32, np.uint8), strict=True))
+        at = np.flatnonzero(high >> 4 == r)
+        of = np.searchsorted(np.cumsum(many), at, side="right")
+        parts.append((low[at].astype(np.uint64) | (high[at].astype(np.uint64) << np.uint64(32)), who[of], sizes[of]))
+    if not parts:
+        return None
+    tok, cls, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
+    by = np.argsort(tok, kind="stable")
+    first = np.ones(len(by), bool)
+    first[1:] = tok[by][1:] != tok[by][:-1]
+    size = np.diff(np.append(np.flatnonzero(first), len(by)))
+    by = by[np.repeat(size > 1, size)]
+    tok, cls, n = tok[by], cls[by], n[by]
+    by = np.lexsort((cls, tok))
+    tok, cls, n = tok[by], cls[by], n[by]
+    one = np.ones(len(tok), bool)
+    one[1:] = (tok[1:] != tok[:-1]) | (cls[1:] != cls[:-1])  # a class of several blocks counts once
+    tok, cls, n = tok[one], cls[one], n[one]
+    first = np.ones(len(tok), bool)
+    first[1:] = tok[1:] != tok[:-1]
+    size = np.diff(np.append(np.flatnonzero(first), len(tok)))
+    df = np.repeat(size, size)
+    keep = df > 1
+    return (tok[keep], cls[keep], n[keep], df[keep]) if keep.any() else None
+
+
+def _by_class(tok, cls, n, df, buckets: int):
+    """Batches of shared shingles packed by bucket of class."""
+    to = (B.mix(cls.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    by = np.lexsort((cls, to))
+    cuts = np.searchsorted(to[by], np.arange(buckets + 1))
+    out = []
+    for t in np.flatnonzero(np.diff(cuts)).tolist():
+        rows = by[cuts[t] : cuts[t + 1]]
+        who, at, times = np.unique(cls[rows], return_index=True, return_counts=True)
+        out.append((t, B.pack(np.ones(1, np.uint8), who, n[rows][at], times.astype(np.int32), tok[rows], np.minimum(df[rows], 2**32 - 1).astype(np.uint32))))
+    for a in range(0, len(out), 64):
+        z = out[a : a + 64]
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array([x[0] for x in z], pa.int32()), "blob": pa.array([x[1] for x in z], pa.binary())})
+
+
 def _count(buckets: int):
     """Shared shingles of each bucket, by bucket of class; documents pass."""
 
@@ -109,47 +155,19 @@ def _count(buckets: int):
         for b, blobs in B.by_key(batches):
             parts, docs = [], []
             for blob in blobs:
-                p = B.unpack(blob)
-                (parts if p[0][0] else docs).append(p if p[0][0] else blob)
+                (parts if B.unpack(blob)[0][0] else docs).append(blob)
             for a in range(0, len(docs), 64):
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array([-1 - (b % 1024)] * len(docs[a : a + 64]), pa.int32()), "blob": pa.array(docs[a : a + 64], pa.binary())})
-            if not parts:
-                continue
-            column = lambda i, kind: np.concatenate([np.frombuffer(p[i], kind) for p in parts])
-            many = column(3, np.int32)
-            cls, n = np.repeat(column(1, np.int64), many), np.repeat(column(2, np.int32), many)
-            tok = column(4, np.uint32).astype(np.uint64) | (column(5, np.uint16).astype(np.uint64) << np.uint64(32))
-            del parts
-            by = np.argsort(tok, kind="stable")
-            first = np.ones(len(by), bool)
-            first[1:] = tok[by][1:] != tok[by][:-1]
-            size = np.diff(np.append(np.flatnonzero(first), len(by)))
-            by = by[np.repeat(size > 1, size)]
-            tok, cls, n = tok[by], cls[by], n[by]
-            by = np.lexsort((cls, tok))
-            tok, cls, n = tok[by], cls[by], n[by]
-            one = np.ones(len(tok), bool)
-            one[1:] = (tok[1:] != tok[:-1]) | (cls[1:] != cls[:-1])  # a class of several blocks counts once
-            tok, cls, n = tok[one], cls[one], n[one]
-            if not len(tok):
-                continue
-            first = np.ones(len(tok), bool)
-            first[1:] = tok[1:] != tok[:-1]
-            size = np.diff(np.append(np.flatnonzero(first), len(tok)))
-            df = np.repeat(size, size)
-            keep = df > 1
-            tok, cls, n, df = tok[keep] | (np.uint64(b % 128) << np.uint64(48)), cls[keep], n[keep], df[keep]
-            to = (B.mix(cls.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            by = np.lexsort((cls, to))
-            cuts = np.searchsorted(to[by], np.arange(buckets + 1))
-            out = []
-            for t in np.flatnonzero(np.diff(cuts)).tolist():
-                rows = by[cuts[t] : cuts[t + 1]]
-                who, at, times = np.unique(cls[rows], return_index=True, return_counts=True)
-                out.append((t, B.pack(np.ones(1, np.uint8), who, n[rows][at], times.astype(np.int32), tok[rows], np.minimum(df[rows], 2**32 - 1).astype(np.uint32))))
-            for a in range(0, len(out), 64):
-                z = out[a : a + 64]
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([x[0] for x in z], pa.int32()), "blob": pa.array([x[1] for x in z], pa.binary())})
+            rows, held = [], 0
+            for r in range(16):
+                found = _shared(parts, r)
+                if found is not None:
+                    tok, cls, n, df = found
+                    rows.append((tok | (np.uint64(b % (1 << 22)) << np.uint64(40)), cls, n, df))
+                    held += len(tok)
+                if rows and (held > SHARED_ROWS or r == 15):
+                    yield from _by_class(*(np.concatenate(x) for x in zip(*rows, strict=True)), buckets)
+                    rows, held = [], 0
 
     return run
 
@@ -314,7 +332,7 @@ def linked_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     words = rows.select(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     buckets = max(16, words // 6 // BUCKET_SHINGLES)
-    counted = rows.mapInArrow(_spread(k, buckets), "bucket int, blob binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count(buckets), "bucket int, blob binary")
+    counted = rows.mapInArrow(_spread(k, buckets), "bucket int, blob binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count(8 * buckets), "bucket int, blob binary")
     state = checkpointed_state(counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_gather(percent), _STATE))
     held = state.filter("held").select("cls", "n", "doc_id")
     sets = state.filter("not held").select("cls", "n", "shared", "tokens")
@@ -334,26 +352,26 @@ def _answers(sets: DataFrame, percent: int) -> DataFrame | None:
     """node, root of the classes that link; None where none does."""
     lists = sets.mapInArrow(_postings(percent), "token long, cls long, n int, pos int")
     shared = lists.groupBy("token").agg(F.count("*").alias("many")).filter("many > 1").select("token")
-    lists = B.checkpointed(lists.join(shared, "token"))
+    lists = B.settled(lists.join(shared, "token"))
     links, roots, done, turn = None, None, None, 0
     while True:
         now = lists.withColumn("root", F.col("cls"))
         if roots is not None:
             now = lists.join(roots.select(F.col("node").alias("cls"), F.col("root").alias("r")), "cls", "left").select("token", "cls", "n", "pos", F.coalesce("r", "cls").alias("root"))
         found = now.repartition("token").sortWithinPartitions("token", "n", "cls").mapInArrow(_pairs(percent, turn, turn >= ROUNDS), "a long, b long")
-        found = B.checkpointed(found.distinct())
+        found = B.settled(found.distinct())
         pairs = found.filter("b is not null")
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         new = _compare(pairs, sets, percent)
-        links = B.checkpointed(new if links is None else links.union(new))
+        links = B.settled(new if links is None else links.union(new))
         if not links.isEmpty():
             roots = components(links)
         rest = found.filter("b is null").select(F.col("a").alias("token"))
         if rest.isEmpty():
             return roots
         done = pairs if done is None else done.union(pairs)
-        lists = B.checkpointed(lists.join(rest, "token", "left_semi"))
+        lists = B.settled(lists.join(rest, "token", "left_semi"))
         turn += 1
 
 
@@ -363,7 +381,7 @@ SENT_IDS = 300_000
 
 def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """u, v: the pairs that link, by the size of their sets' intersection."""
-    ids = B.checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
+    ids = B.settled(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
     few = ids.count() <= SENT_IDS
     own = sets.join(F.broadcast(ids) if few else ids, "cls", "left_semi")
     side = lambda x: own.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"))
