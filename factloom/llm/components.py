@@ -21,7 +21,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         #: A node that is its neighbours' least keeps them, as m is then the node itself.
-        large = large.filter("u <> v").distinct().coalesce(2 * now.rdd.getNumPartitions())
+        large = large.filter("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         now = settled(small.filter("u <> v").distinct())

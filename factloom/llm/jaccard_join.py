@@ -353,7 +353,7 @@ def _answers(sets: DataFrame, percent: int) -> DataFrame | None:
     lists = sets.mapInArrow(_postings(percent), "token long, cls long, n int, pos int")
     shared = lists.groupBy("token").agg(F.count("*").alias("many")).filter("many > 1").select("token")
     lists = B.settled(lists.join(shared, "token"))
-    links, roots, done, turn = None, None, None, 0
+    roots, done, turn = None, None, 0
     while True:
         now = lists.withColumn("root", F.col("cls"))
         if roots is not None:
@@ -364,9 +364,9 @@ def _answers(sets: DataFrame, percent: int) -> DataFrame | None:
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         new = _compare(pairs, sets, percent)
-        links = B.settled(new if links is None else links.union(new))
-        if not links.isEmpty():
-            roots = components(links)
+        new = B.settled(new)
+        if not new.isEmpty():  # earlier links are held by the stars that they left
+            roots = components(new if roots is None else roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(new))
         rest = found.filter("b is null").select(F.col("a").alias("token"))
         if rest.isEmpty():
             return roots
