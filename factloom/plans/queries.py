@@ -368,3 +368,35 @@ def event_windows(s, d):
 @query("SELECT b.item_id, count(*) AS n_tokens FROM (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '([a-z0-9]{3,})', 1)) AS w FROM benchmark) b GROUP BY 1")
 def entity_key_index(s, d):
     return t(s, d, "benchmark").select("item_id", F.explode(T.tokens(F.col("text"))).alias("w")).groupBy("item_id").agg(F.count("*").alias("n_tokens"))
+
+
+@query(r"SELECT page_id, lower(regexp_extract(url, '^https?://(?:www\.|m\.)?([^/?#]+)', 1)) || rtrim(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/') AS normal FROM pages")
+def url_normalize(s, d):
+    host = F.lower(F.regexp_extract("url", r"^https?://(?:www\.|m\.)?([^/?#]+)", 1))
+    return t(s, d, "pages").select("page_id", F.concat(host, F.rtrim(F.regexp_extract("url", r"^https?://[^/?#]+([^?#]*)", 1), F.lit("/"))).alias("normal"))
+
+
+@query("SELECT conv_id, segment, min(role) AS speaker, min(turn) AS first_turn, max(turn) AS last_turn, count(*) AS n_turns FROM (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS segment FROM (SELECT *, (role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) OR row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1)::INT AS new FROM conversations)) GROUP BY 1, 2")
+def speaker_segments(s, d):
+    """Runs of turns of one speaker."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    new = ~F.col("role").eqNullSafe(F.lag("role").over(w)) | (F.row_number().over(w) == 1)
+    rows = t(s, d, "conversations").select("conv_id", "turn", "role", new.cast("int").alias("new"))
+    rows = rows.withColumn("segment", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy("conv_id", "segment").agg(F.min("role").alias("speaker"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count("*").alias("n_turns"))
+
+
+@query("WITH k AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), e AS (SELECT x.l_suppkey AS a, y.l_suppkey AS b, count(*) AS together FROM k x JOIN k y USING (l_orderkey) WHERE x.l_suppkey < y.l_suppkey GROUP BY 1, 2 HAVING count(*) >= 3), n AS (SELECT a AS node, b AS neighbour, together FROM e UNION ALL SELECT b, a, together FROM e) SELECT node, neighbour, together FROM n JOIN supplier ON s_suppkey = node WHERE s_acctbal < 0")
+def expand_1hop(s, d):
+    """Neighbours, by shared orders, of the suppliers in question (a negative balance)."""
+    e = G.blocked_pairs(t(s, d, "lineitem"), "l_orderkey", "l_suppkey", 2, 20).withColumnRenamed("shared", "together").filter("together >= 3")
+    both = e.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("neighbour")), F.struct(F.col("b").alias("node"), F.col("a").alias("neighbour")))).alias("x"), "together").select("x.*", "together")
+    return both.join(t(s, d, "supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").alias("node")), "node").select("node", "neighbour", "together")
+
+
+@query("SELECT o_orderkey, l_linenumber FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey WHERE abs(l_quantity * p_retailprice - l_extendedprice) > greatest(0.02, 0.0001 * greatest(abs(l_quantity * p_retailprice), abs(l_extendedprice)))")
+def price_math_mismatch(s, d):
+    """Lines whose quantity times unit price is not their extended price."""
+    x = t(s, d, "lineitem").join(t(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice"), "l_partkey")
+    x = x.filter("abs(l_quantity * p_retailprice - l_extendedprice) > greatest(0.02, 0.0001 * greatest(abs(l_quantity * p_retailprice), abs(l_extendedprice)))")
+    return x.join(t(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
