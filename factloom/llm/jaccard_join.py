@@ -11,7 +11,8 @@
    is its leader; others are compared with the leader only. A set that links takes over the leader's component,
    which is its answer as far as components go; it is not compared within its component again. A list with more than one
    component goes on to the next round, where each set outside the largest one meets TRIES others; after ROUNDS rounds
-   what is left is compared in full. Lists end when they lie in one component or all pairs across components were compared, so no link is lost.
+   what is left is compared in full, but for pairs whose tokens before are the same too: they meet in that token's list, which
+   fits them as well. Lists end when they lie in one component or all such pairs across components were compared, so no link is lost.
 
 Skew. Equal sets of a block of rows are sent once. Postings are numbers, sorted in bounded buckets. A group of copies has
 one class; a group of near copies gives about as many pairs as sets in each round.
@@ -218,19 +219,19 @@ def _gather(percent: int):
 
 
 def _postings(percent: int):
-    """The prefix of each set: token, cls, n, pos. Unshared shingles come first in the order and meet nothing."""
+    """The prefix of each set: token, the token before it (-1: none), cls, n, pos. Unshared shingles come first in the order and meet nothing."""
 
     def run(batches):
         for batch in batches:
-            out = [[], [], [], []]
+            out = [[], [], [], [], []]
             for c, n, shared, t in zip(*(batch.column(x).to_pylist() for x in ("cls", "n", "shared", "tokens")), strict=True):
                 alone = n - shared
                 tok = np.frombuffer(t, np.int64)[: max(0, n - int(_need(n, percent)) + 1 - alone)]
-                for x, v in zip(out, (tok, np.full(len(tok), c), np.full(len(tok), n), np.arange(alone, alone + len(tok))), strict=True):
+                for x, v in zip(out, (tok, np.append(-1, tok[:-1])[: len(tok)], np.full(len(tok), c), np.full(len(tok), n), np.arange(alone, alone + len(tok))), strict=True):
                     x.append(v)
             if out[0]:
                 a = [np.concatenate(x) for x in out]
-                yield pa.RecordBatch.from_pydict({"token": pa.array(a[0], pa.int64()), "cls": pa.array(a[1], pa.int64()), "n": pa.array(a[2], pa.int32()), "pos": pa.array(a[3], pa.int32())})
+                yield pa.RecordBatch.from_pydict({"token": pa.array(a[0], pa.int64()), "before": pa.array(a[1], pa.int64()), "cls": pa.array(a[2], pa.int64()), "n": pa.array(a[3], pa.int32()), "pos": pa.array(a[4], pa.int32())})
 
     return run
 
@@ -239,7 +240,7 @@ def _lists(batches):
     """(columns of numpy arrays) of each token's postings, which come sorted by token and n."""
     held = None
     for batch in batches:
-        a = {x: batch.column(x).to_numpy(zero_copy_only=False) for x in ("token", "cls", "n", "pos", "root")}
+        a = {x: batch.column(x).to_numpy(zero_copy_only=False) for x in ("token", "before", "cls", "n", "pos", "root")}
         if held is not None:
             a = {x: np.concatenate([held[x], a[x]]) for x in a}
         cuts = np.append(np.flatnonzero(np.append(True, a["token"][1:] != a["token"][:-1])), len(a["token"]))
@@ -261,6 +262,10 @@ def _pairs(percent: int, turn: int, last: bool):
         most = 1 + np.minimum(n[i] - pos[i], n[others] - pos[others]) - 1
         return others[fit & (most * (100 + percent) >= percent * (n[i] + n[others]))]
 
+    def first(x, i, others):
+        """others that i doesn't meet in the list of the token before as well: that one is compared in full, then or later."""
+        return others[(x["before"][i] < 0) | (x["before"][others] != x["before"][i])]
+
     def run(batches):
         out_a, out_b, told = [], [], set()  # told: pairs that this task has given
         for x in _lists(batches):
@@ -274,7 +279,7 @@ def _pairs(percent: int, turn: int, last: bool):
             if last or len(small) * size <= FULL:
                 for i in small.tolist():
                     later = (number == many.argmax()) | (everyone > i)
-                    pairs += [(i, j) for j in across(x, i, everyone[later]).tolist()]
+                    pairs += [(i, j) for j in first(x, i, across(x, i, everyone[later])).tolist()]
             elif turn:  # each set outside the largest component meets some others, of which most have many answers
                 for i in small.tolist():
                     others = across(x, i, everyone)
@@ -339,7 +344,8 @@ def linked_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT)
     roots = _answers(sets, percent)
     labelled = held if roots is None else held.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
     labelled = labelled.withColumn("at", F.coalesce(F.col("root"), F.col("cls")) if roots is not None else F.col("cls"))
-    least = labelled.filter("cls >= 0").groupBy("at").agg(F.min("doc_id").alias("least"))
+    #: Settled, so that both sides of the join are plain exchanges, of which a hot component's can be split.
+    least = B.settled(labelled.filter("cls >= 0").groupBy("at").agg(F.min("doc_id").alias("least")))
     out = labelled.join(least, "at", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
@@ -350,19 +356,19 @@ def checkpointed_state(df: DataFrame) -> DataFrame:
 
 def _answers(sets: DataFrame, percent: int) -> DataFrame | None:
     """node, root of the classes that link; None where none does."""
-    lists = sets.mapInArrow(_postings(percent), "token long, cls long, n int, pos int")
+    lists = sets.mapInArrow(_postings(percent), "token long, before long, cls long, n int, pos int")
     shared = lists.groupBy("token").agg(F.count("*").alias("many")).filter("many > 1").select("token")
     lists = B.settled(lists.join(shared, "token"))
     roots, done, turn = None, None, 0
     while True:
         now = lists.withColumn("root", F.col("cls"))
         if roots is not None:
-            now = lists.join(roots.select(F.col("node").alias("cls"), F.col("root").alias("r")), "cls", "left").select("token", "cls", "n", "pos", F.coalesce("r", "cls").alias("root"))
+            now = lists.join(roots.select(F.col("node").alias("cls"), F.col("root").alias("r")), "cls", "left").select("token", "before", "cls", "n", "pos", F.coalesce("r", "cls").alias("root"))
         found = now.repartition("token").sortWithinPartitions("token", "n", "cls").mapInArrow(_pairs(percent, turn, turn >= ROUNDS), "a long, b long")
         found = B.settled(found.distinct())
         pairs = found.filter("b is not null")
         if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
+            pairs = B.settled(pairs.join(done, ["a", "b"], "left_anti"))
         new = _compare(pairs, sets, percent)
         new = B.settled(new)
         if not new.isEmpty():  # earlier links are held by the stars that they left

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from factloom.llm import bpe, jaccard_join, license_scans, media_avi, mixing, packing, quality_rules, substring_dedup, toxicity, url_filters
+from factloom.llm import bpe, components, jaccard_join, license_scans, media_avi, mixing, packing, quality_rules, substring_dedup, toxicity, url_filters
 
 random.seed(3)
 WORDS = [f"w{i}" for i in range(400)]
@@ -90,6 +90,20 @@ def encoding():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@pytest.mark.parametrize("part_edges", [7, 1000])
+def test_components(spark, monkeypatch, part_edges):
+    monkeypatch.setattr(components, "PART_EDGES", part_edges)
+    edges = [(random.randrange(120), random.randrange(120)) for _ in range(70)] + [(i, i + 1) for i in range(200, 230)] + [(5, 5), (None, 3), (201, 200)]
+    least = {n: n for e in edges for n in e if n is not None}
+    for _ in least:
+        for u, v in edges:
+            if u is not None:
+                least[u] = least[v] = min(least[u], least[v])
+    got = components.components(spark.createDataFrame(edges, "u long, v long").repartition(4)).collect()
+    assert sorted((r["node"], r["root"]) for r in got) == sorted((n, m) for n, m in least.items() if n != m)
+    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_bpe(spark, encoding):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     for r in bpe.digest(frame(spark), public_tokenizers.PATTERN, path).collect():
