@@ -6,6 +6,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 #: Spaces that separate words: 0x20 and 0x09-0x0D, which is what bytes.split() cuts at.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one block of rows holds at most (a longer text is a block of its own).
-BLOCK_BYTES = 8 << 20
-_CACHE_WORDS = 1_000_000
+BLOCK_BYTES = 4 << 20
+_CACHE_WORDS = 500_000
 
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -92,27 +93,26 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[:n], x[w - have : w - have + n]) if have < w else x[:n]
 
 
-def binary(column: pa.ChunkedArray | pa.Array) -> list:
-    """A string column's values as bytes (None stays)."""
-    kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
-    return column.cast(kind).to_pylist()
+def binary(column: pa.ChunkedArray | pa.Array):
+    """A string column as one of bytes (null stays), without a copy."""
+    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
 
 
 def blocks(batches, text: str = "text", limit: int = BLOCK_BYTES):
-    """Rows of Arrow batches as (columns by name, texts as bytes), at most limit bytes of text each."""
+    """Rows of Arrow batches as (columns by name, texts as bytes), at most limit bytes of text each; only a block's texts are copied at a time."""
     for batch in batches:
-        texts, start, held = binary(batch.column(text)), 0, 0
-        names = [n for n in batch.schema.names if n != text]
-        for i, t in enumerate(texts):
-            size = len(t) if t else 0
+        texts, names = binary(batch.column(text)), [n for n in batch.schema.names if n != text]
+        start = held = 0
+        cuts = []
+        for i, size in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
             if held and held + size > limit:
-                part = batch.slice(start, i - start)
-                yield {n: part.column(n) for n in names}, texts[start:i]
+                cuts.append((start, i))
                 start, held = i, 0
             held += size
-        if start < len(texts):
-            part = batch.slice(start)
-            yield {n: part.column(n) for n in names}, texts[start:]
+        for a, z in [*cuts, (start, batch.num_rows)]:
+            if a < z:
+                part = batch.slice(a, z - a)
+                yield {n: part.column(n) for n in names}, texts.slice(a, z - a).to_pylist()
 
 
 def pack(*parts: bytes | np.ndarray) -> bytes:

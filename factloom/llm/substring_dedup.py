@@ -229,7 +229,7 @@ def _zip(batches):
     """Texts compressed one by one, which halves what the join with their spans moves."""
     squeeze = zstandard.ZstdCompressor(level=3).compress
     for b in batches:
-        texts = [None if t is None else squeeze(t) for t in B.binary(b.column("text"))]
+        texts = [None if t is None else squeeze(t) for t in (x.as_py() for x in B.binary(b.column("text")))]
         yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").cast(pa.int64()), "doc": b.column("doc"), "tag": b.column("tag"), "zipped": pa.array(texts, pa.binary())})
 
 

@@ -138,7 +138,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         terms = Terms()
         for batch in batches:
             keep = []
-            for t in B.binary(batch.column("text")):
+            for t in (x.as_py() for x in B.binary(batch.column("text"))):
                 x = np.unique(terms.of(t))
                 f = v[x].astype(np.float64)
                 keep.append(bool(bias + w[x].sum(dtype=np.float64) + 0.5 * ((f.sum(0) ** 2).sum() - (f**2).sum()) < 0))
