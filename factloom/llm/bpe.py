@@ -131,6 +131,17 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int], column: str = "word"
     return words.withColumn("ids", F.when(n.isNull(), F.lit(None)).when(n == 0, F.array().cast("array<int>")).otherwise(F.coalesce(whole, folded)))
 
 
+class Pieces(dict):
+    """Bytes of ids that stand together, made of each id's own bytes and remembered."""
+
+    def __init__(self, bytes_of: dict[bytes, bytes]):
+        self.bytes_of = bytes_of
+
+    def __missing__(self, ids: bytes) -> bytes:
+        got = self[ids] = b"".join(map(self.bytes_of.__getitem__, ids.split()))
+        return got
+
+
 class Codec(dict):
     """Ids of texts as bytes of decimal numbers, remembered by piece; decoding by the ids' own bytes.
 
@@ -139,11 +150,9 @@ class Codec(dict):
 
     def __init__(self, pattern: str, ranks: dict[bytes, int], known: dict[str, list[int]] | None = None):
         self.find = regex.compile(pattern).findall
-        self.space = regex.compile(r"\s").match
         self.ranks, self.known = ranks, known or {}
-        self.bytes_of = {b"%d" % v: k for k, v in ranks.items()}
         self.words: dict[str, bytes] = {}
-        self.decoded: dict[bytes, bytes] = {}
+        self.decoded = Pieces({b"%d" % v: k for k, v in ranks.items()})
 
     def word(self, w: str) -> bytes:
         if (ids := self.words.get(w)) is None:
@@ -154,7 +163,7 @@ class Codec(dict):
         return b" ".join(map(self.word, self.find(text)))
 
     def __missing__(self, piece: str) -> bytes | None:
-        bad = not piece or self.space(piece[0]) or self.space(piece[-1])
+        bad = not piece or piece[0].isspace() or piece[-1].isspace()  # isspace() holds for all that \s matches
         ids = self[piece] = None if bad else self.plain(" " + piece)
         return ids
 
@@ -166,20 +175,15 @@ class Codec(dict):
         if not text:
             return []
         pieces = text.split(" ")
-        if len(pieces) > 2 and pieces[0] and not self.space(pieces[0][-1]) and pieces[-1] and not self.space(pieces[-1][0]):
+        if len(pieces) > 2 and pieces[0] and not pieces[0][-1].isspace() and pieces[-1] and not pieces[-1][0].isspace():
             middle = [*map(self.__getitem__, pieces[1:-1])]
-            if None not in middle:
+            if all(middle):  # a piece has an id at least
                 return [self.plain(pieces[0]), *middle, self.plain(" " + pieces[-1])]
         return [self.plain(text)]
 
-    def _decode_one(self, ids: bytes) -> bytes:
-        got = self.decoded[ids] = b"".join(map(self.bytes_of.__getitem__, ids.split()))
-        return got
-
     def decode(self, ids: list[bytes]) -> bytes:
         """The bytes of ids: the tokens' binary pieces, concatenated."""
-        known = self.decoded.get
-        return b"".join([d if (d := known(i)) is not None else self._decode_one(i) for i in ids])
+        return b"".join(map(self.decoded.__getitem__, ids))
 
 
 def _frequent(pattern: str):
