@@ -157,6 +157,23 @@ def test_quality_counts(spark):
             assert r["base_failed"] == (len(w) < 10 or 100 * len(again) > 20 * len(w))
 
 
+def test_quality_words(spark):
+    own = random.Random(5)
+    made = lambda n: [own.choice(["lorem", "tarin", "selod", "minet", "rasco", "delin"]) for _ in range(n)]
+
+    def text(lang, n):
+        w = made(n) if lang is None else [own.choice(quality_rules.COMMON[lang]) if own.random() < 0.15 else x for x in made(n)]
+        return " ".join(f"{x}{i % 10}" if x in ("lorem", "tarin") else x for i, x in enumerate(w))  # few repeated windows
+
+    good = [(text(lang, n), lang, True) for lang in quality_rules.COMMON for n in (60, 100, 200, 400) * 15]
+    wrong = [(text(other, 200), lang, False) for lang in quality_rules.COMMON for other in (None, *quality_rules.COMMON) if other != lang]
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang, _) in enumerate(good + wrong)], "doc_id long, text string, lang string")
+    rows = quality_rules.judged(docs).collect()
+    assert not any(r["base_failed"] for r in rows) and all(r["char_distance"] < quality_rules.CHAR_LIMIT for r in rows)
+    assert not any(r["kept"] for r in rows if r["doc_id"] >= len(good))
+    assert sum(r["kept"] for r in rows if r["doc_id"] < len(good)) >= 0.97 * len(good)
+
+
 def test_mixing(spark):
     rows = mixing.mixed(frame(spark)).collect()
     assert len(rows) == len(TEXTS) and all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
