@@ -1,7 +1,7 @@
 """A corpus pipeline: toxicity, n-gram Jaccard join, substring dedup, mixing to target weights, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's docs. All but the
-last return the columns of documents. Toxic documents go; one document of each linked group stays (the smallest doc_id); words of
+last return the columns of documents. Toxic documents go; one document of each group linked at 5-word shingles and a similarity of 0.8 stays (the smallest doc_id); words of
 repeated windows go from texts; the mix takes documents once for each epoch, cut where a source's target ends; the last
 stage encodes each row.
 """
@@ -21,8 +21,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+#: The near-copy stage's own measure; op6's contract (4 and 85) is another.
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.one_of_each(docs)
+    return jaccard_join.one_of_each(docs, NEAR_SHINGLE, NEAR_PERCENT)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

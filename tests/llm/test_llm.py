@@ -84,6 +84,19 @@ def test_jaccard_join(spark):
     assert jaccard_join.linked_documents(frame(spark).limit(0)).count() == 0
 
 
+def test_pipeline_drops_near_copies_at_five_words_and_80_percent(spark):
+    import corpus_pipeline
+
+    own = random.Random(11)
+    groups = [[f"g{g}x{own.randrange(300)}" for _ in range(150)] for g in range(12)]
+    texts = [" ".join(w + [f"g{g}y{own.randrange(300)}" for _ in range(n)]) for g, w in enumerate(groups) for n in (0, own.choice((15, 25, 30, 34, 40, 50)))]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(words, texts)]
+    near = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    assert any(0.8 <= x < 0.85 for x in near) and any(x < 0.8 for x in near)
+    want = {i for i in range(len(texts)) if i % 2 == 0 or near[i // 2] < 0.8}
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, frame(spark, texts), "").collect()} == want
+
+
 @pytest.fixture(scope="module")
 def encoding():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
