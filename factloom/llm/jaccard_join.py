@@ -395,13 +395,25 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """docs without the documents that are linked to one of a smaller doc_id (null last); columns stay.
+    """docs without the rows that are linked to an earlier one (by doc_id, null last, then by a hash of the text); columns stay.
 
-    Of rows with one doc_id and component the first (by text) stays. Documents without a word stay.
+    A row's key is a 64-bit hash of doc_id and text, so rows that share a doc_id, or have none, go or stay by their own text. Of
+    rows with one key the least by the other columns stays. Rows without a word all stay.
     """
-    found = linked_documents(B.own(docs, "doc_id", "text"), k, percent)
-    drop = found.filter("component_id < doc_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(drop, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti").select(*docs.columns)
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+    found = linked_documents(docs.select(key.alias("doc_id"), "text"), k, percent).filter("n_shingles > 0")
+    found = B.settled(found.groupBy(F.col("doc_id").alias("__key"), F.col("component_id").alias("at")).agg(F.count("*").alias("many")))
+    own = docs.select(key.alias("__key"), F.col("doc_id").alias("id")).distinct()
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__key")).alias("first")
+    kept = found.join(own, "__key").groupBy("at").agg(first).select("first.__key")
+    gone = B.settled(found.select("__key").join(kept, "__key", "left_anti"))
+    again = B.settled(found.filter("many > 1").select("__key").join(gone, "__key", "left_anti"))
+    rest = docs.withColumn("__key", key).join(gone, "__key", "left_anti")
+    if again.isEmpty():
+        return rest.select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = rest.join(again, "__key", "left_semi").groupBy("__key").agg(F.min(F.struct(*others, "doc_id", "text")).alias("row"))
+    return rest.join(again, "__key", "left_anti").select(*docs.columns).unionByName(one.select(*(F.col(f"row.{c}").alias(c) for c in docs.columns)))
 
 
 def op6_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

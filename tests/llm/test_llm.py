@@ -97,6 +97,18 @@ def test_pipeline_drops_near_copies_at_five_words_and_80_percent(spark):
     assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, frame(spark, texts), "").collect()} == want
 
 
+def test_one_of_each_by_row(spark):
+    own = random.Random(12)
+    a, b, c, d, e = (" ".join(f"{g}{own.randrange(500)}" for _ in range(100)) for g in "abcde")
+    rows = [(1, a), (None, a), (None, b), (None, c + " x"), (None, c), (7, d), (7, a + " y"), (8, e), (8, e), (8, e), (None, None), (None, None), (None, " "), (9, ""), (9, "")]
+    docs = spark.createDataFrame([(i, t, j) for j, (i, t) in enumerate(rows)], "doc_id long, text string, tag int").repartition(3)
+    out = jaccard_join.one_of_each(docs)
+    assert out.columns == docs.columns
+    kept = sorted(r["tag"] for r in out.collect())
+    assert [x for x in kept if x not in (3, 4)] == [0, 2, 5, 7, 10, 11, 12, 13, 14] and len(kept) == 10  # one of 3 and 4
+    assert jaccard_join.one_of_each(docs.limit(0)).count() == 0
+
+
 @pytest.fixture(scope="module")
 def encoding():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
