@@ -143,6 +143,12 @@ def contradicts_edges(s, d):
     return _paired(s, d).filter("abs(qa - qb) >= 80").select("l_partkey", "a", "b")
 
 
+@query(_CLAIMS + _PAIRED + "WHERE x.q <> y.q")
+def contradicts_edges_all(s, d):
+    """Every pair of differing claims on one part; contradicts_edges has those that differ by 80 or more only."""
+    return _paired(s, d).filter("qa <> qb").select("l_partkey", "a", "b")
+
+
 @query("SELECT o_orderkey, round(o_totalprice - coalesce(t, 0), 2) AS gap FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS t FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE abs(o_totalprice - coalesce(t, 0)) > 1")
 def aggregate_mismatch(s, d):
     sums = t(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("t"))
