@@ -14,6 +14,15 @@ def fold_groups(df: DataFrame, key: str, value: str, least: int) -> DataFrame:
     return out.filter(F.col("n_rows") >= least)
 
 
+def fold_or_keep(df: DataFrame, key: str, value: str, least: int, ids: list[str]) -> DataFrame:
+    """The folded groups, with null ids, and each row of the smaller groups as it is: n_rows 1, its value as low, high and total."""
+    small = df.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__n")).filter(F.col("__n") < least).select("__key")
+    rest = df.join(small, F.col(key).eqNullSafe(F.col("__key")), "left_semi")
+    money = F.col(value).cast("decimal(18,2)").cast("double")
+    rest = rest.select(key, *ids, F.lit(1).cast("long").alias("n_rows"), F.col(value).alias("low"), F.col(value).alias("high"), money.alias("total"))
+    return rest.unionByName(fold_groups(df, key, value, least), allowMissingColumns=True)
+
+
 def first_of_each(df: DataFrame, keys: list[Column | str], order: list[Column], tag: str = "turn") -> DataFrame:
     """df with turn: 1 for the row that a key keeps, in the given order."""
     return df.withColumn(tag, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

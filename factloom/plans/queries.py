@@ -39,6 +39,12 @@ def rollup_fold(s, d):
     return D.fold_groups(t(s, d, "lineitem"), "l_partkey", "l_extendedprice", 30)
 
 
+@query("WITH g AS (SELECT l_partkey, count(*) AS n_rows, min(l_extendedprice) AS low, max(l_extendedprice) AS high, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS total FROM lineitem GROUP BY 1) SELECT l_partkey, NULL::BIGINT AS l_orderkey, NULL::BIGINT AS l_linenumber, n_rows, low, high, total FROM g WHERE n_rows >= 30 UNION ALL SELECT l.l_partkey, l_orderkey, l_linenumber, 1, l_extendedprice, l_extendedprice, l_extendedprice::DECIMAL(18,2)::DOUBLE FROM lineitem l JOIN g ON g.l_partkey IS NOT DISTINCT FROM l.l_partkey WHERE n_rows < 30")
+def rollup_fold_all(s, d):
+    """The folds of rollup_fold and the line items that are not folded."""
+    return D.fold_or_keep(t(s, d, "lineitem"), "l_partkey", "l_extendedprice", 30, ["l_orderkey", "l_linenumber"])
+
+
 @query("SELECT o_orderpriority AS band, o_orderstatus, count(*) AS n, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS total FROM orders GROUP BY ALL")
 def rollup_money_keys(s, d):
     return t(s, d, "orders").groupBy(F.col("o_orderpriority").alias("band"), "o_orderstatus").agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))

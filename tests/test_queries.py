@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as T
 from factloom.operators import authority as A
+from factloom.operators import dedup as D
 from factloom.operators import diff as X
 from factloom.operators import graph as G
 from factloom.plans import registry
@@ -49,6 +50,19 @@ def test_claims_that_differ_a_little_contradict(spark, duck):
     assert any(abs(q[p, a] - q[p, b]) < 80 for p, a, b in got)
 
 
+def test_rows_that_are_not_folded_stay(spark):
+    rows = spark.createDataFrame([(1, 1, 2.0), (1, 2, 5.0), (1, 3, 3.0), (2, 4, 7.0), (2, 5, 7.0), (None, 6, 1.0), (3, 7, None)], "k int, i int, v double")
+    got = {tuple(r) for r in D.fold_or_keep(rows, "k", "v", 3, ["i"]).collect()}
+    assert got == {(1, None, 3, 2.0, 5.0, 10.0), (2, 4, 1, 7.0, 7.0, 7.0), (2, 5, 1, 7.0, 7.0, 7.0), (None, 6, 1, 1.0, 1.0, 1.0), (3, 7, 1, None, None, None)}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_the_fold_covers_every_line_item(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.entry(spark).agg(F.sum("n_rows")).first()[0] == spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("  Ab\t c  ", "Call +1 (555) 010-9999 or A@x.org, $1.5K on 2024-02-30 and $5")], "a string, b string")
     r = df.select(T.normalize_text(F.col("a")), T.slug(F.col("a")), T.emails(F.col("b")), T.phones(F.col("b")), T.money(F.col("b")), T.dates(F.col("b"))).first()
