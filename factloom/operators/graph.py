@@ -24,6 +24,32 @@ def blocked_pairs(keys: DataFrame, key: str, item: str, low: int = 2, high: int
     return k.withColumnRenamed(item, "a").join(other, key).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
+def sharing_pairs(keys: DataFrame, key: str, item: str, bound: int | None = None) -> DataFrame:
+    """a < b, shared: all pairs of items that share two keys or more, exactly, with the number of keys.
+
+    Keys with more than bound items (max(20, sqrt(rows)) by default) never make pairs alone: they are counted in pairs that share
+    another key, and two of them make pairs only of items that have both, which all belong to the result.
+    """
+    k = keys.select(F.col(key).alias("k"), F.col(item).alias("i")).filter("k is not null and i is not null").distinct()
+    if bound is None:
+        bound = max(20, int(keys.count() ** 0.5))
+    size = k.groupBy("k").agg(F.count("*").alias("size"))
+    over = F.broadcast(size.filter(F.col("size") > bound).select("k"))  # at most rows / bound
+    small = k.join(over, "k", "left_anti")
+    hot = k.join(over, "k").groupBy("i").agg(F.sort_array(F.collect_set("k")).alias("hot"))
+
+    def pairs(rows, by):
+        return rows.withColumnRenamed("i", "a").join(rows.withColumnRenamed("i", "b"), by).filter("a < b")
+
+    two = hot.withColumn("k1", F.explode("hot")).withColumn("k2", F.explode("hot")).filter("k1 < k2").select("i", "k1", "k2")
+    found = pairs(small, "k").select("a", "b", F.lit(1).alias("n")).union(pairs(two, ["k1", "k2"]).select("a", "b", F.lit(0).alias("n")))
+    found = found.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    side = lambda x: hot.select(F.col("i").alias(x), F.col("hot").alias(f"hot_{x}"))
+    found = found.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    both = F.when(F.col("hot_a").isNull() | F.col("hot_b").isNull(), 0).otherwise(F.size(F.array_intersect("hot_a", "hot_b")))
+    return found.select("a", "b", (F.col("n") + both).alias("shared")).filter("shared >= 2")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root (the least node reachable) of an undirected graph given by a, b; by large and small stars."""
     spark = edges.sparkSession

@@ -121,6 +121,12 @@ def blocked_pairs(s, d):
     return G.blocked_pairs(t(s, d, "lineitem"), "l_partkey", "l_orderkey", 2, 40).filter("shared >= 2")
 
 
+@query("WITH k AS (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem) SELECT x.l_orderkey AS a, y.l_orderkey AS b, count(*) AS shared FROM k x JOIN k y USING (l_partkey) WHERE x.l_orderkey < y.l_orderkey GROUP BY 1, 2 HAVING count(*) >= 2")
+def blocked_pairs_all(s, d):
+    """Orders that share two parts or more, whatever the number of a part's orders."""
+    return G.sharing_pairs(t(s, d, "lineitem"), "l_partkey", "l_orderkey")
+
+
 @query("SELECT l_suppkey, count(DISTINCT l_partkey) AS size, count(DISTINCT l_partkey) BETWEEN 2 AND 500 AS informative FROM lineitem GROUP BY 1")
 def hot_key_filter(s, d):
     return t(s, d, "lineitem").groupBy("l_suppkey").agg(F.countDistinct("l_partkey").alias("size")).withColumn("informative", F.col("size").between(2, 500))

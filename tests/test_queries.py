@@ -1,5 +1,6 @@
 """Every query against its SQL in DuckDB on the smallest tables, and small cases of the operators."""
 import os
+import random
 
 import duckdb
 import pytest
@@ -63,6 +64,19 @@ def test_the_fold_covers_every_line_item(spark):
     assert __spark_entry__.entry(spark).agg(F.sum("n_rows")).first()[0] == spark.read.parquet(f"{DATA}/lineitem.parquet").count()
 
 
+@pytest.mark.parametrize("bound", [None, 3, 8])
+def test_pairs_of_hot_keys_stay(spark, bound):
+    own = random.Random(4)
+    rows = [(0, i) for i in range(40)] + [(1, i) for i in range(0, 40, 3)] + [(own.randrange(2, 30), own.randrange(60)) for _ in range(200)] + [(None, 1), (None, 2), (5, None)]
+    has = {}
+    for k, i in rows:
+        if k is not None and i is not None:
+            has.setdefault(i, set()).add(k)
+    want = {(a, b, len(has[a] & has[b])) for a in has for b in has if a < b and len(has[a] & has[b]) >= 2}
+    got = G.sharing_pairs(spark.createDataFrame(rows, "k int, i int"), "k", "i", bound).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("  Ab\t c  ", "Call +1 (555) 010-9999 or A@x.org, $1.5K on 2024-02-30 and $5")], "a string, b string")
     r = df.select(T.normalize_text(F.col("a")), T.slug(F.col("a")), T.emails(F.col("b")), T.phones(F.col("b")), T.money(F.col("b")), T.dates(F.col("b"))).first()
