@@ -81,6 +81,26 @@ def extract_date(s, d):
     return t(s, d, "documents").select("doc_id", F.explode(T.dates(F.col("text"))).alias("date_key"))
 
 
+@query(r"""SELECT doc_id, unnest(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text, '(\$\s?\d[\d,]*(?:\.\d+)?\s?[KMB]?)', 1), lambda x: regexp_replace(x, '[^\d.]', '', 'g')::DOUBLE * CASE right(x, 1) WHEN 'K' THEN 1e3 WHEN 'M' THEN 1e6 WHEN 'B' THEN 1e9 ELSE 1.0 END), lambda v: v >= 100 AND v <= 1e12)))) AS amount FROM documents""")
+def extract_money(s, d):
+    return t(s, d, "documents").select("doc_id", F.explode(T.money(F.col("text"))).alias("amount"))
+
+
+_FLAT = "trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))"
+
+
+@query(f"WITH i AS (SELECT item_id, {_FLAT} AS x FROM benchmark), d AS (SELECT doc_id, {_FLAT} AS y FROM documents) SELECT item_id, count(doc_id) AS n_docs, count(doc_id) FILTER (contains(y, x)) AS n_whole, count(doc_id) > 0 AS covered FROM i LEFT JOIN d ON x <> '' AND contains(y, left(x, 40)) GROUP BY 1")
+def reference_containment(s, d):
+    """Each benchmark passage with the number of documents that hold its first 40 characters, and all of it, by normalised text."""
+    flat = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
+    items = t(s, d, "benchmark").select("item_id", flat.alias("x"))
+    docs = t(s, d, "documents").select(flat.alias("y"))
+    # The passages are the small side; counts come back by item, so that passages that no document holds stay.
+    found = docs.join(F.broadcast(items.filter("x <> ''")), F.expr("contains(y, left(x, 40))")).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.sum(F.expr("contains(y, x)").cast("long")).alias("n_whole"))
+    n = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return items.select("item_id").join(found, "item_id", "left").select("item_id", n("n_docs"), n("n_whole"), F.col("n_docs").isNotNull().alias("covered"))
+
+
 @query("SELECT sha256(text) AS digest, min(doc_id) AS survivor, count(*) AS copies FROM documents GROUP BY 1")
 def exact_dedup(s, d):
     return D.exact_dedup(t(s, d, "documents"), F.col("text"), "doc_id")

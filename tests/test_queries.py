@@ -77,6 +77,16 @@ def test_pairs_of_hot_keys_stay(spark, bound):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_passages_and_amounts_in_documents(spark, tmp_path):
+    passage = "Alpha  beta gamma delta epsilon zeta eta theta iota kappa"
+    spark.createDataFrame([(1, passage), (2, "not held anywhere"), (3, " "), (4, None), (5, "Iota")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = ["x ALPHA beta\ngamma delta epsilon zeta eta theta iota kappa y", "alpha beta gamma delta epsilon zeta eta other", None, "", "$2.5K or $1,200 and $3"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in registry.queries()["reference_containment"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 2, 1, True), (2, 0, 0, False), (3, 0, 0, False), (4, 0, 0, False), (5, 1, 1, True)}
+    assert {tuple(r) for r in registry.queries()["extract_money"](spark, str(tmp_path)).collect()} == {(4, 2500.0), (4, 1200.0)}
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("  Ab\t c  ", "Call +1 (555) 010-9999 or A@x.org, $1.5K on 2024-02-30 and $5")], "a string, b string")
     r = df.select(T.normalize_text(F.col("a")), T.slug(F.col("a")), T.emails(F.col("b")), T.phones(F.col("b")), T.money(F.col("b")), T.dates(F.col("b"))).first()
