@@ -27,7 +27,7 @@ COMMON = {
 }
 GUARD_WORDS, GUARD_CHARS = 50, 200
 CHAR_LIMIT = 0.27
-#: The limit of words is WORD_LIMIT + WORD_SPREAD / sqrt(words): fitted on one half of the labelled documents of sf0.1 and check_h, checked on the other.
+#: The limit of words is WORD_LIMIT + WORD_SPREAD / sqrt(words): of a grid fitted on half of the labelled documents of sf0.1 and check_h; see the README.
 WORD_LIMIT, WORD_SPREAD = 0.13, 1.0
 _GAP = r"[\x20\x09-\x0D]+"
 
