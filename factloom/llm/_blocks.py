@@ -167,3 +167,13 @@ def is_in(x: np.ndarray, among: np.ndarray) -> np.ndarray:
 def own(df: DataFrame, *columns: str) -> DataFrame:
     """Only these columns, so that other columns of any name do no harm."""
     return df.select(*(F.col(f"`{c}`") for c in columns))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names made of names that df does not have (case is ignored, as Spark ignores it)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while (n := f"_{n}").lower() in taken:
+            pass
+        out.append(n)
+    return out

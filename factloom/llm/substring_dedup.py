@@ -5,8 +5,8 @@ word 3-grams, and consecutive windows that share it travel as one packed string
 minimiser's bucket. Sorting a bucket's windows brings equal ones together; equality of hashes is then
 confirmed word by word, so counts are exact. The first start (smallest document, then position) stays.
 
-Skew. (1) Equal super-k-mers of one block of rows travel once: the later ones are repeats already. So a
-passage that a third of all documents share reaches its bucket once per block. (2) Grams that hold over
+Skew. (1) Equal super-k-mers of one block of rows travel once: the later ones are repeats already, and go as merged spans by
+a bucket that has nothing to do with the passage. So a passage that a third of all documents share reaches its bucket once per block. (2) Grams that hold over
 ``HOT_SHARE`` of sampled positions lose their place in the order (they are minimisers of nothing), and a window of
 nothing but such grams goes by its own hash. There are at most 2 / HOT_SHARE of them, which bounds what is
 sent to tasks. (3) The number of buckets follows the number of words.
@@ -117,16 +117,24 @@ def _block(docs, tags, texts, seen, window, buckets, hot):
     bucket = (B.mix(key[starts] + B.M1) % np.uint64(buckets)).astype(np.int32)
     own = lead == np.arange(len(lead))
     #: Equal rows are one place: what starts at the leader's own place is no repeat of it.
-    again = ~own & ((doc != doc[lead]) | (tag != tag[lead]) | (start != start[lead]))
-    own_order = np.argsort(np.where(own | again, bucket, buckets), kind="stable")
-    cuts = np.searchsorted(bucket[own_order[: int((own | again).sum())]], np.arange(buckets + 1))
-    out_b, out = [], []
+    again = np.flatnonzero(~own & ((doc != doc[lead]) | (tag != tag[lead]) | (start != start[lead])))
+    out_b, out, none = [], [], [np.empty(0, k) for k in (np.int64, np.int64, np.int32, np.int32)]
+    if len(again):  # repeats of this block are spans already: they go by any bucket, in one blob
+        a, z = start[again], start[again] + count[again] + window - 1
+        new = np.ones(len(again), bool)
+        new[1:] = (owner[again[1:]] != owner[again[:-1]]) | (a[1:] > z[:-1])
+        last = np.append(np.flatnonzero(new)[1:], len(again)) - 1
+        a, z, rep = a[new].astype(np.int32), z[last].astype(np.int32), again[new]
+        out_b.append(int((int(tag[rep[0]]) ^ int(doc[rep[0]])) % buckets))
+        out.append(B.pack(*none[:4], b"", doc[rep], tag[rep], a, z))
+    sent = np.flatnonzero(own)
+    sent = sent[np.argsort(bucket[sent], kind="stable")]
+    cuts = np.searchsorted(bucket[sent], np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(cuts)).tolist():
-        rows = own_order[cuts[b] : cuts[b + 1]]
-        send, rep = rows[own[rows]], rows[~own[rows]]
+        send = sent[cuts[b] : cuts[b + 1]]
         text = b"\n".join([whole[low[j] : high[j]] for j in send.tolist()])
         out_b.append(b)
-        out.append(B.pack(doc[send], tag[send], start[send], count[send].astype(np.int32), text, doc[rep], tag[rep], start[rep], count[rep].astype(np.int32)))
+        out.append(B.pack(doc[send], tag[send], start[send], count[send].astype(np.int32), text, *none))
         if len(out) >= 64:
             yield pa.RecordBatch.from_pydict({"bucket": pa.array(out_b, pa.int32()), "blob": pa.array(out, pa.binary())})
             out_b, out = [], []
@@ -138,9 +146,8 @@ def _solve(blobs: list[bytes], window: int):
     """Word spans (doc, tag, low, high) of a bucket that repeat an earlier start."""
     parts = [B.unpack(b) for b in blobs]
     column = lambda i, kind: np.concatenate([np.frombuffer(p[i], kind) for p in parts])
-    rep = [column(5, np.int64), column(6, np.int64), column(7, np.int32), column(8, np.int32)]
     doc, tag, start, count = column(0, np.int64), column(1, np.int64), column(2, np.int32), column(3, np.int32)
-    found = [(rep[0], rep[1], rep[2], rep[2] + rep[3] + window - 1)]
+    found = [(column(5, np.int64), column(6, np.int64), column(7, np.int32), column(8, np.int32))]
     if len(doc):
         words = b" ".join(bytes(p[4]).replace(b"\n", b" ") for p in parts if len(p[4])).split(b" ")
         number: defaultdict = defaultdict()
@@ -214,7 +221,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     rows = _keyed(docs)
     share = rows.select("text").mapInArrow(_hot(window), "k long, n long, of long")
-    sums = share.groupBy("k").agg(F.sum("n").alias("n"), F.sum("of").alias("of"))
+    sums = B.checkpointed(share.groupBy("k").agg(F.sum("n").alias("n"), F.sum("of").alias("of")))  # the pass over all texts runs once
     total = sums.filter("k is null").first()
     words, sampled = (total["n"], total["of"]) if total else (0, 0)
     limit = max(2, sampled * HOT_SHARE / 2)
@@ -271,18 +278,19 @@ def dedup_texts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     A text without repeats keeps its own spacing; in a changed one the kept words are joined by one space.
     Rows whose words are all repeats keep an empty text. Columns and rows stay.
     """
-    spans = repeated_spans(B.own(docs, "doc_id", "text"), window).groupBy("doc", "tag").agg(F.collect_list(F.struct("low", "high")).alias("__spans"))
-    rows = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE))).withColumn("__tag", F.xxhash64("text"))
-    spans = spans.withColumnsRenamed({"doc": "__doc", "tag": "__tag"})
+    doc, tag, held = B.unused(docs, "doc", "tag", "spans")
+    spans = repeated_spans(B.own(docs, "doc_id", "text"), window).groupBy("doc", "tag").agg(F.collect_list(F.struct("low", "high")).alias(held))
+    rows = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE))).withColumn(tag, F.xxhash64("text"))
+    spans = spans.withColumnsRenamed({"doc": doc, "tag": tag})
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
-    joined = rows.join(spans, ["__doc", "__tag"], "left")
+    joined = rows.join(spans, [doc, tag], "left")
     #: Spans in order of position; a word stays where no span holds it.
-    kept = F.array_join(F.flatten(_gaps(F.col("__spans"), words)), " ")
-    new = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(kept)
+    kept = F.array_join(F.flatten(_gaps(F.col(held), words)), " ")
+    new = F.when(F.col(held).isNull(), F.col("text")).otherwise(kept)
     out = joined.withColumn("text", new)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(held).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return B.own(out, *docs.columns)
 
 
 def _gaps(spans, words):
