@@ -1,16 +1,18 @@
 """Byte-level BPE encoding and decoding.
 
-Distinct words are encoded by Spark higher-order functions that fold ranked merges over arrays of byte pieces; the rank map
+Distinct words are encoded by Spark higher-order functions that fold ranked merges over the array of a word's bytes; the rank map
 is a literal (``encode_words``). Which words: ``frequent_words`` counts the pieces of all texts and takes the most frequent
-``FREQUENT`` (a bound on what is sent to tasks); their ids go to each task. A piece that is not among them is
-folded by the same rule where it is met, so results don't depend on which words are frequent. A map literal of
-50,000 entries is searched from its start at each look-up in Spark, so the literal is an array of
-slots by hash, which gives the same answer in one step.
+``FREQUENT`` (a bound on what is sent to tasks), which make up nearly all occurrences; their ids go to each task. A word that is not
+among them is folded by the same rule where it is met, so results don't depend on which words are frequent. A map literal of
+50,000 entries is searched from its start at each look-up in Spark, so the rank map is arrays of
+slots by the ids of the two pieces, which give the same answer in one step.
 
 Text is cut into pieces before single spaces that stand between other characters; the public pattern never matches across
 such a place, so a piece can be encoded, and remembered, by itself.
 
-Defined results: null text is encoded as empty; other columns are not read; an empty table gives an empty result.
+Defined results: null text is encoded as empty (no ids); a null doc_id stays null; repeated rows are encoded each; a text of any length is
+encoded whole, words of over 200 bytes with a heap; other columns are not read; an empty table gives an empty result; null ids
+decode to null, and an id that the ranks do not have raises ValueError.
 """
 from __future__ import annotations
 
@@ -22,16 +24,17 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _blocks as B
 
 #: Words whose ids are made by higher-order functions and sent to tasks, at most.
-FREQUENT = 8_192
+FREQUENT = 131_072
 #: Longest of these words in bytes: the fold's steps grow with the square.
-FREQUENT_BYTES = 24
+FREQUENT_BYTES = 32
+#: Times that a task meets a piece whose words are counted.
+LEAST = 3
 _CACHE = 400_000
 
 
@@ -42,9 +45,9 @@ def ranks_of(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
 
 
-def fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token: the adjacent pair of least rank merges (the leftmost of equals) until none has a rank."""
-    if word in ranks:
+def fold(word: bytes, ranks: dict[bytes, int], whole: bool = True) -> list[int]:
+    """Ids of one pre-token: its own (if whole), or the adjacent pair of least rank merges (the leftmost of equals) until none has a rank."""
+    if whole and word in ranks:
         return [ranks[word]]
     n = len(word)
     if n > 200:
@@ -90,45 +93,78 @@ def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 _NO_RANK = 2**31 - 1
 
 
-def rank_literal(ranks: dict[bytes, int]):
-    """(hex bytes column) -> rank column, by a literal of slots ';hex:rank;hex:rank;...', found by hash."""
-    size = 1 << max(4, len(ranks).bit_length())
-    slots = [""] * size
-    for token, rank in ranks.items():
-        key = token.hex().upper()
-        slots[xxhash.xxh64_intdigest(key, seed=42) % size] += f";{key}:{rank}"
-    literal = F.split(F.lit(",".join(slots)), ",")
+@functools.cache
+def _pairs_of(path: str) -> tuple[int, str, str, str, str]:
+    """The ranked merges of a file as literals: slots, then (comma-separated) slot starts, keys, ranks, and the ids of the 256 bytes.
+
+    The key of two adjacent ids a and b is a * 2**17 + b; it stands in slot key mod slots, with the rank of their joined bytes.
+    """
+    ranks = ranks_of(path)
+    if len(set(ranks.values())) < len(ranks) or max(ranks.values()) >> 17 or any(bytes([i]) not in ranks for i in range(256)):
+        raise ValueError(f"{path}: ids are to be distinct and below {1 << 17}, and each byte is to have one")
+    found = [(ranks[t[:i]] << 17 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+    keys, values = (np.array(x, np.int64) for x in zip(*found, strict=True))
+    slots = 2 * len(keys) + 1
+    by = np.argsort(keys % slots, kind="stable")
+    starts = np.searchsorted(keys[by] % slots, np.arange(slots + 1))
+    text = lambda x: ",".join(map(str, x))
+    return slots, text(starts.tolist()), text(keys[by].tolist()), text(values[by].tolist()), text(ranks[bytes([i])] for i in range(256))
 
-    def rank(key):
-        slot = F.get(literal, F.pmod(F.xxhash64(key), F.lit(size)).cast("int"))
-        found = F.instr(slot, F.concat(F.lit(";"), key, F.lit(":")))
-        value = F.substring_index(F.substr(slot, found + F.length(key) + 2), ";", 1).cast("int")
-        return F.when(found > 0, value).otherwise(F.lit(_NO_RANK))
 
-    return rank
+@functools.cache
+def _unreached(path: str) -> dict[str, int]:
+    """Tokens (hex) that merging does not lead to; such a word has its own id all the same."""
+    ranks = ranks_of(path)
+    return {t.hex().upper(): r for t, r in ranks.items() if fold(t, ranks, whole=False) != [r]}
 
 
-def encode_words(words: DataFrame, ranks: dict[bytes, int], column: str = "word") -> DataFrame:
-    """words with a column ids array<int>: ranked merges of the words' UTF-8 bytes, by higher-order functions.
+def encode_words(words: DataFrame, path: str, column: str = "word") -> DataFrame:
+    """words with a column ids array<int>: ranked merges of the words' UTF-8 bytes, folded by higher-order functions.
 
-    column: string or binary. A null word has null ids, an empty one none. Any word is
-    folded whole; cost grows with the square of its length.
+    column: string or binary. A null word has null ids, an empty one none. Any word is folded whole; cost grows with the square of its
+    length. The fold holds the ids of a word's pieces and the rank of each adjacent pair; a step merges the leftmost pair of least rank
+    and looks up its two new pairs in the rank map, a literal.
     """
-    rank = rank_literal(ranks)
-    key = F.hex(F.col(column).cast("binary"))
+    slots, *texts = _pairs_of(path)
+    array = lambda text, kind: F.split(F.lit(text), ",").cast(f"array<{kind}>")  # noqa: E731  folded to one literal
+    literal = F.struct(*(array(t, k).alias(n) for n, t, k in zip(("starts", "keys", "ranks", "bytes"), texts, ("int", "bigint", "int", "int"), strict=True)))
     let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))  # noqa: E731  value is computed once
+    none = F.array().cast("array<int>")
+    word = F.col(column).cast("binary")
+    n = F.length(word)
+
+    def folded(m):
+        def rank(a, b):
+            def found(k):
+                at = lambda i: F.get(m["starts"], (k % slots).cast("int") + i)
+                return let(at(0), lambda s: F.when(F.get(m["keys"], s) == k, F.get(m["ranks"], s)).otherwise(
+                    let(F.array_position(F.slice(m["keys"], s + 1, at(1) - s), k).cast("int"), lambda q: F.when(q > 0, F.get(m["ranks"], s + q - 1)).otherwise(_NO_RANK))))
+
+            return let(F.shiftleft(a.cast("long"), 17) + b, found)
+
+        def merge(acc, _):
+            p, r = acc["p"], acc["r"]
+
+            def joined(new):
+                return let(F.array_position(r, new).cast("int"), lambda i: F.struct(
+                    F.concat(F.slice(p, F.lit(1), i - 1), F.array(new), F.slice(p, i + 2, F.size(p))).alias("p"),
+                    F.concat(
+                        F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), F.when(i > 1, F.array(rank(F.get(p, i - 2), new))).otherwise(none),
+                        F.when(i < F.size(r), F.array(rank(new, F.get(p, i + 1)))).otherwise(none), F.slice(r, i + 2, F.size(r))).alias("r")))
+
+            return let(F.coalesce(F.array_min(r), F.lit(_NO_RANK)), lambda new: F.when(new == _NO_RANK, acc).otherwise(joined(new)))
 
-    def merge(pieces, _):
-        pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.slice(pieces, F.lit(2), F.size(pieces)), lambda a, b: rank(F.concat(a, b)))
-        return let(pairs, lambda r: let(F.coalesce(F.array_min(r), F.lit(_NO_RANK)), lambda m: F.when(m == _NO_RANK, pieces).otherwise(
-            let(F.array_position(r, m).cast("int"), lambda i: F.concat(
-                F.slice(pieces, F.lit(1), i - 1), F.array(F.concat(F.get(pieces, i - 1), F.get(pieces, i))), F.slice(pieces, i + 2, F.size(pieces)))))))
+        chars = F.decode(word, "ISO-8859-1")  # a character for each byte
+        steps = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+        single = F.transform(steps, lambda i: F.get(m["bytes"], F.ascii(F.substr(chars, i, F.lit(1)))))
+        start = let(single, lambda p: F.struct(p.alias("p"), F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p)), rank).alias("r")))
+        return F.aggregate(steps, start, merge, lambda acc: acc["p"])
 
-    n = F.length(F.col(column).cast("binary"))
-    single = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(key, 2 * i - 1, F.lit(2)))
-    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), single, merge, lambda p: F.transform(p, rank))
-    whole = let(rank(key), lambda r: F.when(r != _NO_RANK, F.array(r)))
-    return words.withColumn("ids", F.when(n.isNull(), F.lit(None)).when(n == 0, F.array().cast("array<int>")).otherwise(F.coalesce(whole, folded)))
+    ids = let(literal, folded)
+    if whole := _unreached(path):
+        at = F.array_position(F.split(F.lit(",".join(whole)), ","), F.hex(word)).cast("int")
+        ids = F.when(at > 0, F.array(F.get(F.split(F.lit(",".join(map(str, whole.values()))), ",").cast("array<int>"), at - 1))).otherwise(ids)
+    return words.withColumn("ids", F.when(n.isNull(), F.lit(None)).when(n == 0, none).otherwise(ids))
 
 
 class Pieces(dict):
@@ -145,18 +181,18 @@ class Pieces(dict):
 class Codec(dict):
     """Ids of texts as bytes of decimal numbers, remembered by piece; decoding by the ids' own bytes.
 
-    known: ids of some words, made by encode_words.
+    known: ids of some words, made by encode_words, as decimal bytes.
     """
 
-    def __init__(self, pattern: str, ranks: dict[bytes, int], known: dict[str, list[int]] | None = None):
+    def __init__(self, pattern: str, ranks: dict[bytes, int], known: dict[str, bytes] | None = None):
         self.find = regex.compile(pattern).findall
         self.ranks, self.known = ranks, known or {}
         self.words: dict[str, bytes] = {}
         self.decoded = Pieces({b"%d" % v: k for k, v in ranks.items()})
 
     def word(self, w: str) -> bytes:
-        if (ids := self.words.get(w)) is None:
-            ids = self.words[w] = b" ".join(b"%d" % i for i in self.known.get(w) or fold(w.encode(), self.ranks))
+        if (ids := self.known.get(w) or self.words.get(w)) is None:
+            ids = self.words[w] = b" ".join(b"%d" % i for i in fold(w.encode(), self.ranks))
         return ids
 
     def plain(self, text: str) -> bytes:
@@ -187,41 +223,44 @@ class Codec(dict):
 
 
 def _frequent(pattern: str):
-    """Words of a block's frequent pieces, with counts."""
+    """Words of a task's pieces that occur LEAST times in it, with counts."""
 
     def run(batches):
         find = regex.compile(pattern).findall
-        for _, texts in B.blocks(batches):
-            count: Counter = Counter()
-            for t in texts:
-                if t:
-                    count.update(t.split(b" "))
+
+        def told(count):
             words: Counter = Counter()
             for piece, n in count.items():
-                if n >= 16:
+                if n >= LEAST:
                     for w in find(" " + piece.decode()):
                         words[w] += n
-            yield pa.RecordBatch.from_pydict({"word": pa.array(list(words), pa.string()), "n": pa.array(list(words.values()), pa.int64())})
+            return pa.RecordBatch.from_pydict({"word": pa.array(list(words), pa.string()), "n": pa.array(list(words.values()), pa.int64())})
+
+        count: Counter = Counter()
+        for _, texts in B.blocks(batches):
+            for t in texts:
+                if t:
+                    count.update(t.split(b" "))
+            if len(count) > _CACHE:
+                yield told(count)
+                count.clear()
+        yield told(count)
 
     return run
 
 
 def frequent_words(docs: DataFrame, pattern: str, most: int = FREQUENT) -> DataFrame:
-    """word, n: the most frequent pre-tokens of docs.text, ties by word; n counts those in pieces that a block has 16 times or more."""
+    """word, n: the most frequent pre-tokens of docs.text, ties by word; n counts those in pieces that a task meets LEAST times or more."""
     words = docs.select("text").filter("text is not null").mapInArrow(_frequent(pattern), "word string, n long")
     return words.filter(F.octet_length("word") <= FREQUENT_BYTES).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
 
 
-def known_words(docs: DataFrame, pattern: str, ranks: dict[bytes, int]) -> dict[str, list[int]]:
-    """Ids of frequent words, at most FREQUENT of FREQUENT_BYTES each."""
-    words = [r["word"] for r in frequent_words(docs, pattern).collect()]
-    #: Only tokens inside these words can be looked up, so the literal holds no others.
-    inside = {x for w in map(str.encode, words) for i in range(len(w)) for j in range(i + 1, len(w) + 1) if (x := w[i:j]) in ranks}
-    if not words:
-        return {}
-    spark = docs.sparkSession
-    spread = spark.createDataFrame([(w,) for w in words], "word string").repartition(spark.sparkContext.defaultParallelism, "word")
-    return {r["word"]: list(r["ids"]) for r in encode_words(spread, {x: ranks[x] for x in inside}).collect()}
+def known_words(docs: DataFrame, pattern: str, path: str) -> dict[str, bytes]:
+    """Ids (decimal, joined by a space) of frequent words, at most FREQUENT of FREQUENT_BYTES each."""
+    words = B.checkpointed(frequent_words(docs, pattern).select("word"))
+    parts = docs.sparkSession.sparkContext.defaultParallelism
+    rows = encode_words(words.repartition(parts, "word"), path).select("word", F.concat_ws(" ", F.col("ids").cast("array<string>")).alias("ids"))
+    return {r["word"]: r["ids"].encode() for r in rows.collect()}
 
 
 def _digest(pattern, ranks, known):
@@ -253,16 +292,22 @@ def _ids(pattern, ranks, known):
 def encode_documents(docs: DataFrame, pattern: str, path: str) -> DataFrame:
     """doc_id, ids array<int> of each row of docs (doc_id, text)."""
     ranks = ranks_of(path)
-    return B.own(docs, "doc_id", "text").mapInArrow(_ids(pattern, ranks, known_words(docs, pattern, ranks)), "doc_id long, ids array<int>")
+    return B.own(docs, "doc_id", "text").mapInArrow(_ids(pattern, ranks, known_words(docs, pattern, path)), "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, text: UTF-8 of the ids' concatenated bytes (invalid sequences replaced)."""
     pieces = {v: k for k, v in ranks_of(path).items()}
 
+    def joined(ids):
+        try:
+            return b"".join(map(pieces.__getitem__, ids)).decode(errors="replace")
+        except KeyError as e:
+            raise ValueError(f"id {e.args[0]} is not in the ranks") from None
+
     def run(batches):
         for b in batches:
-            texts = [None if ids is None else b"".join(map(pieces.__getitem__, ids)).decode(errors="replace") for ids in b.column("ids").to_pylist()]
+            texts = [None if ids is None else joined(ids) for ids in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "text": pa.array(texts, pa.string())})
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
@@ -271,10 +316,11 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
 def digest(docs: DataFrame, pattern: str, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of docs: encoded, then decoded, whole."""
     ranks = ranks_of(path)
-    return B.own(docs, "doc_id", "text").mapInArrow(_digest(pattern, ranks, known_words(docs, pattern, ranks)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return B.own(docs, "doc_id", "text").mapInArrow(_digest(pattern, ranks, known_words(docs, pattern, path)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op7_byte_level_bpe(spark, sf_dir: str) -> DataFrame:
+    """Every text of documents, encoded by the public ranks and decoded again."""
     import public_tokenizers
 
     return digest(B.table(spark, sf_dir, "documents"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.tiktoken"))

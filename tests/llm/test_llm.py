@@ -135,8 +135,8 @@ def test_bpe(spark, encoding):
         t = TEXTS[r["doc_id"]] or ""
         ids = encoding.encode_ordinary(t)
         assert tuple(r)[1:] == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
-    table = [(w,) for w in ["", "a", " hello", "été", "🙂", " w123w", "zzzzzzzz", None]]
-    for w, ids in bpe.encode_words(spark.createDataFrame(table, "word string"), bpe.ranks_of(path)).collect():
+    table = [(w,) for w in ["", "a", " hello", "été", "🙂", " w123w", "zzzzzzzz", " " * 30, "ab" * 20, "aaa aaa", None]]
+    for w, ids in bpe.encode_words(spark.createDataFrame(table, "word string"), path).collect():
         assert ids == (None if w is None else encoding._core_bpe.encode_single_piece(w.encode()) if w else [])
     back = bpe.decode_documents(bpe.encode_documents(frame(spark), public_tokenizers.PATTERN, path), path)
     assert {r[0]: r[1] for r in back.collect()} == {i: t or "" for i, t in enumerate(TEXTS)}
