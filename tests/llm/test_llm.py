@@ -239,6 +239,32 @@ def test_toxicity(spark):
     assert toxicity.without_toxic(docs, labels).filter("doc_id % 3 = 1").count() == 100
 
 
+@pytest.mark.parametrize("rule", ["one but not both", "both or none"])
+def test_toxicity_learns_pairs(spark, rule):
+    """Two words that are as frequent in toxic texts as in clean ones; only together do they tell."""
+    own = random.Random(21)
+    rows = []
+    for i in range(3000):
+        insult, group = own.random() < 0.5, own.random() < 0.5
+        text = " ".join([f"n{own.randrange(400)}" for _ in range(20)] + ["insult"] * insult + ["group"] * group)
+        rows.append((i, text, int((insult != group) == (rule == "one but not both"))))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    held = [r for r in toxicity.scored(docs, labels).collect() if r["held_out"]]
+    assert len(held) > 500 and sum(r["predicted"] == rows[r["doc_id"]][2] for r in held) >= 0.95 * len(held)
+
+
+def test_toxicity_on_odd_labels(spark):
+    docs = frame(spark, [f"good {sentence(5)}" for _ in range(20)])
+    one = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, toxic int")
+    assert toxicity.without_toxic(docs, one).count() == 20
+    assert toxicity.without_toxic(docs, one.limit(0)).count() == 20
+    many = spark.createDataFrame([(1, 0), (1, 1), (None, 1), (2, 7), (3, 0)], "doc_id long, toxic int")
+    twice = docs.union(docs)
+    assert {(r["doc_id"], r["toxic"]) for r in toxicity.labelled_sample(twice, many).collect()} <= {(1, 1), (3, 0)}
+    assert toxicity.scored(twice, many).count() == 40
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline
