@@ -9,6 +9,7 @@ import zlib
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from factloom.llm import bpe, components, jaccard_join, license_scans, media_avi, mixing, packing, quality_rules, substring_dedup, toxicity, url_filters
 
@@ -199,17 +200,92 @@ def test_quality_words(spark):
     assert sum(r["kept"] for r in rows if r["doc_id"] < len(good)) >= 0.97 * len(good)
 
 
+def brute_mix(texts, point):
+    """taken and first slot of each text, by walking over slots; sources as frame() gives them."""
+    source = [[None, "s0", "s1", "s2"][i % 4] for i in range(len(texts))]
+    size = [len(words(t)) for t in texts]
+    names = sorted(set(source), key=lambda s: (s is None, s or ""))
+    total = {s: sum(n for n, x in zip(size, source) if x == s) for s in names}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    cap, open_, target = {s: 2 * total[s] for s in names}, set(names), {}
+    while True:  # reshare until none is above
+        left = 1.5 * sum(size) - sum(target.values())
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = [s for s in open_ if share[s] > cap[s]]
+        if not over:
+            break
+        for s in over:
+            target[s] = cap[s]
+            open_.discard(s)
+    target |= share
+    goal = {s: round(target[s]) for s in names}
+    every = sum(goal.values())
+    block = max(1, min(mixing.BLOCK, min(v for v in total.values() if v) // mixing.LEAST_BLOCKS))
+    order = {s: sorted((i for i in range(len(texts)) if source[i] == s), key=lambda i: hashlib.md5(str(i).encode()).hexdigest()) for s in names}
+    stream = {s: [i for i in order[s] for _ in range(size[i])] for s in names}
+    taken, first, rank = [0] * len(texts), [None] * len(texts), dict.fromkeys(names, 0)
+    slots = (2 * every + block) // (2 * block)
+    for n in range(slots):
+        at, s = int(point(n) * every), None
+        for s in names:
+            if at < goal[s]:
+                break
+            at -= goal[s]
+        blocks = -(-total[s] // block)
+        epoch, b = divmod(rank[s], blocks)
+        rank[s] += 1
+        for k, i in enumerate(stream[s][b * block : (b + 1) * block]):
+            if epoch * total[s] + b * block + k < goal[s]:
+                taken[i] += 1
+                first[i] = n if first[i] is None else first[i]
+    return taken, first, target, slots, block, source
+
+
+def corput(n):
+    out, base = 0.0, 0.5
+    while n:
+        out, n, base = out + base * (n & 1), n >> 1, base / 2
+    return out
+
+
 def test_mixing(spark):
-    rows = mixing.mixed(frame(spark)).collect()
-    assert len(rows) == len(TEXTS) and all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
-    assert abs(sum(r["taken"] for r in rows) - 1.5 * sum(r["size"] for r in rows)) <= 4
-    assert rows and sorted(map(str, rows)) == sorted(map(str, mixing.mixed(frame(spark)).collect()))
-    out = mixing.mixture(frame(spark))
-    assert out.columns == SCHEMA.replace(",", "").split()[::2]
-    assert sum(len(words(r["text"])) for r in out.collect()) == sum(r["taken"] for r in rows)
+    rows = {r["doc_id"]: r for r in mixing.mixed(frame(spark)).collect()}
+    taken, first, target, slots, block, source = brute_mix(TEXTS, lambda n: n * mixing.GOLDEN - int(n * mixing.GOLDEN))
+    assert [rows[i]["taken"] for i in range(len(TEXTS))] == taken
+    assert [rows[i]["first_slot"] for i in range(len(TEXTS))] == first
+    assert all(abs(rows[i]["target"] - target[source[i]]) < 1e-6 for i in rows)
+    assert all(0 <= r["taken"] <= 2 * r["size"] for r in rows.values())
+    for s in target:
+        got = sum(r["taken"] for i, r in rows.items() if source[i] == s)
+        assert -(mixing.deviation(slots) + 2) * block <= got - target[s] <= 1
+    again = {r["doc_id"]: r for r in mixing.mixed(frame(spark)).collect()}
+    assert rows == again
+    out = mixing.mixture(frame(spark), "turn").orderBy("turn").collect()
+    assert out[0].__fields__ == [*SCHEMA.replace(",", "").split()[::2], "turn"]
+    assert sum(len(words(r["text"])) for r in out) == sum(taken)
+    assert [r["turn"] for r in out] == sorted(r["turn"] for r in out) and {r["turn"] for r in out} >= {x for x in first if x is not None}
     assert mixing.mixed(frame(spark).limit(0)).count() == 0
 
 
+def test_mixing_by_another_sequence(spark):
+    other = lambda n: sum((F.shiftright(n, k).bitwiseAND(F.lit(1)) / F.lit(2.0 ** (k + 1)) for k in range(21)), F.lit(0.0))
+    rows = {r["doc_id"]: r for r in mixing.mixed(frame(spark), other).collect()}
+    taken, first, *_ = brute_mix(TEXTS, corput)
+    assert [rows[i]["taken"] for i in range(len(TEXTS))] == taken and [rows[i]["first_slot"] for i in range(len(TEXTS))] == first
+    assert any(rows[i]["first_slot"] != r["first_slot"] for r in mixing.mixed(frame(spark)).collect() for i in [r["doc_id"]])
+    coarse = mixing.mixed(frame(spark), lambda n: F.pmod(n, F.lit(3)) / 3).collect()  # of three points only
+    assert {r["doc_id"]: r["taken"] for r in coarse} != dict(enumerate(taken))
+
+
+@pytest.mark.parametrize("slots", [10, 1000, 50_000])
+def test_golden_ratio_points_deviate_little(slots):
+    own = random.Random(slots)
+    at = [n * mixing.GOLDEN % 1 for n in range(slots)]
+    for _ in range(40):
+        a, z = sorted((own.random(), own.random()))
+        assert abs(sum(a <= x < z for x in at) - (z - a) * slots) <= mixing.deviation(slots)
+
+
 def test_media_round_trip(spark):
     for r in media_avi.digest(frame(spark)).collect():
         data = (TEXTS[r["doc_id"]] or "").encode()
