@@ -7,12 +7,15 @@
    of hashes after the other, and returns the shared ones (two classes or more). Buckets are large, as each repeats the class ids. A class with fewer than 85 % shared shingles has no partner and leaves.
    The rest order their shingles rarest first. Only a prefix of that order is indexed: two sets with the
    required overlap meet there.
-3. *Answers.* In a posting list, sorted by size and read in blocks of sizes that can link at all, the first set of a block
-   is its leader; others are compared with the leader only. A set that links takes over the leader's component,
-   which is its answer as far as components go; it is not compared within its component again. A list with more than one
-   component goes on to the next round, where each set outside the largest one meets TRIES others; after ROUNDS rounds
+3. *Skipping.* A posting list is sorted by size and position of the token in its set; the sets of one size are a block. A set reads of a
+   block only the places where enough of both sets is left to reach the overlap; the rest of the block, or all of it, is skipped.
+4. *Answers.* In each reach of sizes that can link at all, the first set of a list is its leader; others are compared with the leader only. A
+   set that links takes over the leader's component, which is its answer as far as components go; it is not compared within its component again.
+   A list with more than one component goes on to the next round, where each set outside the largest one meets TRIES others; after ROUNDS rounds
    what is left is compared in full, but for pairs whose tokens before are the same too: they meet in that token's list, which
-   fits them as well. Lists end when they lie in one component or all such pairs across components were compared, so no link is lost.
+   fits them as well. Two sets that were compared with the same set y have answers that follow from y's: their overlap is
+   |x & y| + |z & y| - |y| at least and min(|x & y|, |z & y|) + min(|x - y|, |z - y|) at most. Where a bound decides, the link is given, or the
+   pair is left out, without a look at the sets. Lists end when they lie in one component or all such pairs across components were decided, so no link is lost.
 
 Skew. Equal sets of a block of rows are sent once. Postings are numbers, sorted in bounded buckets. A group of copies has
 one class; a group of near copies gives about as many pairs as sets in each round.
@@ -32,8 +35,9 @@ from pyspark.sql import functions as F
 from . import _blocks as B
 from .components import components
 
-SHINGLE = 4
-PERCENT = 85
+SHINGLE, PERCENT = 5, 80
+#: The query's own measure.
+OP6_SHINGLE, OP6_PERCENT = 4, 85
 #: Shingles that one bucket of the index holds on average (packed), and shared ones that it returns at once.
 BUCKET_SHINGLES, SHARED_ROWS = 6_000_000, 1_000_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -158,7 +162,7 @@ def _count(buckets: int):
             for blob in blobs:
                 (parts if B.unpack(blob)[0][0] else docs).append(blob)
             for a in range(0, len(docs), 64):
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([-1 - (b % 1024)] * len(docs[a : a + 64]), pa.int32()), "blob": pa.array(docs[a : a + 64], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([-1 - b] * len(docs[a : a + 64]), pa.int32()), "blob": pa.array(docs[a : a + 64], pa.binary())})
             rows, held = [], 0
             for r in range(16):
                 found = _shared(parts, r)
@@ -236,94 +240,131 @@ def _postings(percent: int):
     return run
 
 
+_COLUMNS = ("token", "before", "cls", "n", "pos", "root", "lead", "lead_n", "over")
+
+
 def _lists(batches):
-    """(columns of numpy arrays) of each token's postings, which come sorted by token and n."""
+    """(columns of numpy arrays) of each token's postings, which come sorted by token, n and pos."""
     held = None
     for batch in batches:
-        a = {x: batch.column(x).to_numpy(zero_copy_only=False) for x in ("token", "before", "cls", "n", "pos", "root")}
+        a = {x: batch.column(x).to_numpy(zero_copy_only=False) for x in _COLUMNS}
         if held is not None:
             a = {x: np.concatenate([held[x], a[x]]) for x in a}
         cuts = np.append(np.flatnonzero(np.append(True, a["token"][1:] != a["token"][:-1])), len(a["token"]))
         for s, z in zip(cuts[:-2], cuts[1:-1], strict=True):
-            yield {x: v[s:z] for x, v in a.items()}
+            yield PostingList({x: v[s:z] for x, v in a.items()})
         held = {x: v[cuts[-2] :] for x, v in a.items()} if len(cuts) > 1 else None
-    if held is not None:
-        yield held
+    if held is not None and len(held["token"]):
+        yield PostingList(held)
 
 
-def _pairs(percent: int, turn: int, last: bool):
-    """Pairs to compare, and (b null) the tokens whose lists go on."""
+class PostingList:
+    """The sets that have one token in their prefix, in blocks of one size, each sorted by the token's position.
+
+    over: overlap with the set lead of lead_n shingles, with which this one was compared; below 0 if with none.
+    """
+
+    def __init__(self, columns: dict[str, np.ndarray]):
+        self.token, self.before, self.cls, self.n, self.pos, self.root, self.lead, self.lead_n, self.over = (columns[x].astype(np.int64, copy=False) for x in _COLUMNS)
+        self.key = self.n << 32 | self.pos
+        self.first = np.flatnonzero(np.append(True, self.n[1:] != self.n[:-1]))  # of each block
+        self.sizes = self.n[self.first]
+        self.read = self.skipped = 0  # postings
+
+    def reach(self, i: int, percent: int, low: int = 0, high: int = 1 << 62) -> np.ndarray:
+        """Places low to high of sets in other components that set i can link to by size and position; blocks are skipped past the last position that will do."""
+        n, left = int(self.n[i]), int(self.n[i] - self.pos[i])
+        need = -(-(n + self.sizes) * percent // (100 + percent))
+        blocks = np.flatnonzero((np.minimum(n, self.sizes) * 100 >= np.maximum(n, self.sizes) * percent) & (need <= left))
+        start = np.maximum(self.first[blocks], low)
+        stop = np.minimum(np.searchsorted(self.key, self.sizes[blocks] << 32 | np.maximum(self.sizes[blocks] - need[blocks], 0), side="right"), high)
+        many = np.maximum(stop - start, 0)
+        out = np.repeat(start - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        self.read, self.skipped = self.read + len(out), self.skipped + len(self.n) - len(out)
+        return out[self.root[out] != self.root[i]]
+
+    def known(self, i: int, others: np.ndarray, percent: int) -> np.ndarray:
+        """For each of others: 1 if the answers of the set that it and i were compared with tell that it links to i, -1 if that it doesn't, else 0."""
+        if self.over[i] < 0:
+            return np.zeros(len(others), np.int8)
+        a, b, n, m = self.over[i], self.over[others], self.n[i], self.n[others]
+        same = (b >= 0) & (self.lead[others] == self.lead[i])
+        enough = percent * (n + m)
+        least, most = a + b - self.lead_n[i], np.minimum(a, b) + np.minimum(n - a, m - b)
+        return np.where(same, ((100 + percent) * least >= enough).astype(np.int8) - ((100 + percent) * most < enough), 0)
 
-    def across(x, i, others):
-        """others of list x that i can link to: in another component, of a fitting size, at a fitting place."""
-        n, pos = x["n"].astype(np.int64), x["pos"].astype(np.int64)
-        small, large = np.minimum(n[i], n[others]), np.maximum(n[i], n[others])
-        fit = (small * 100 >= large * percent) & (x["root"][others] != x["root"][i])
-        most = 1 + np.minimum(n[i] - pos[i], n[others] - pos[others]) - 1
-        return others[fit & (most * (100 + percent) >= percent * (n[i] + n[others]))]
+
+def _pairs(percent: int, turn: int, last: bool):
+    """Pairs to compare (linked: those known to link), and (b null) the tokens whose lists go on."""
 
     def first(x, i, others):
         """others that i doesn't meet in the list of the token before as well: that one is compared in full, then or later."""
-        return others[(x["before"][i] < 0) | (x["before"][others] != x["before"][i])]
+        return others[(x.before[i] < 0) | (x.before[others] != x.before[i])]
 
     def run(batches):
-        out_a, out_b, told = [], [], set()  # told: pairs that this task has given
+        out, told = [], set()  # told: pairs that this task has given
         for x in _lists(batches):
-            size = len(x["cls"])
-            if size < 2 or (x["root"] == x["root"][0]).all():
+            size = len(x.cls)
+            if size < 2 or (x.root == x.root[0]).all():
                 continue
-            everyone = np.arange(size)
-            roots, number, many = np.unique(x["root"], return_inverse=True, return_counts=True)
+            roots, number, many = np.unique(x.root, return_inverse=True, return_counts=True)
             small = np.flatnonzero(number != many.argmax())
-            pairs = []
+            pairs, links = [], []
+
+            def undecided(i, others):
+                tell = x.known(i, others, percent)  # noqa: B023
+                mine = others[tell == 1]
+                links.extend((i, j) for j in mine[np.unique(x.root[mine], return_index=True)[1]].tolist())  # noqa: B023  one of each component will do
+                return others[tell == 0], len(mine) and (number[mine] == many.argmax()).any()  # noqa: B023
+
             if last or len(small) * size <= FULL:
                 for i in small.tolist():
-                    later = (number == many.argmax()) | (everyone > i)
-                    pairs += [(i, j) for j in first(x, i, across(x, i, everyone[later])).tolist()]
+                    others = x.reach(i, percent)
+                    others, _ = undecided(i, others[(number[others] == many.argmax()) | (others > i)])
+                    pairs += [(i, j) for j in first(x, i, others).tolist()]
             elif turn:  # each set outside the largest component meets some others, of which most have many answers
                 for i in small.tolist():
-                    others = across(x, i, everyone)
-                    if len(others):
-                        at = int(x["cls"][i] ^ x["token"][0]) + turn * TRIES
+                    others, joined = undecided(i, x.reach(i, percent))
+                    if len(others) and not joined:
+                        at = int(x.cls[i] ^ x.token[0]) + turn * TRIES
                         pairs += [(i, int(others[(at + k) % len(others)])) for k in range(min(TRIES, len(others)))]
-                out_a.append(int(x["token"][0]))
-                out_b.append(None)
+                out.append((int(x.token[0]), None, False))
             else:
-                lead = reach = 0
-                while lead < size:  # one leader for each block of sizes
-                    stop = int(np.searchsorted(x["n"], int(x["n"][lead]) * 100 // percent, side="right"))
-                    block = everyone[reach:stop]
-                    pairs += [(lead, j) for j in across(x, lead, block[block != lead]).tolist()]
-                    reach = lead = max(stop, lead + 1)
-                out_a.append(int(x["token"][0]))
-                out_b.append(None)
-            c = x["cls"]
-            for i, j in pairs:
-                pair = int(min(c[i], c[j])), int(max(c[i], c[j]))
-                if pair not in told:
-                    told.add(pair)
-                    out_a.append(pair[0])
-                    out_b.append(pair[1])
+                lead = 0
+                while lead < size:  # one leader for each reach of sizes
+                    stop = int(np.searchsorted(x.n, int(x.n[lead]) * 100 // percent, side="right"))
+                    pairs += [(lead, j) for j in x.reach(lead, percent, lead + 1, stop).tolist()]
+                    lead = max(stop, lead + 1)
+                out.append((int(x.token[0]), None, False))
+            for linked, found in ((True, links), (False, pairs)):
+                for i, j in found:
+                    pair = int(min(x.cls[i], x.cls[j])), int(max(x.cls[i], x.cls[j]))
+                    if pair not in told:
+                        told.add(pair)
+                        out.append((*pair, linked))
             if len(told) > 500_000:
                 told.clear()
-            if len(out_a) > 20_000:
-                yield pa.RecordBatch.from_pydict({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
-                out_a, out_b = [], []
-        yield pa.RecordBatch.from_pydict({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+            if len(out) > 20_000:
+                yield _found(out)
+                out = []
+        yield _found(out)
 
     return run
 
 
+def _found(rows):
+    return pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in rows], pa.int64()), "b": pa.array([x[1] for x in rows], pa.int64()), "linked": pa.array([x[2] for x in rows], pa.bool_())})
+
+
 def _verify(percent: int):
+    """Each pair with its overlap."""
+
     def run(batches):
         for batch in batches:
-            u, v = [], []
-            for a, b, na, nb, x, y in zip(*(batch.column(i).to_pylist() for i in ("a", "b", "n_a", "n_b", "t_a", "t_b")), strict=True):
-                both = len(np.intersect1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True))
-                if 100 * both >= percent * (na + nb - both):
-                    u.append(a)
-                    v.append(b)
-            yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+            a, b, na, nb, x, y = (batch.column(i).to_pylist() for i in ("a", "b", "n_a", "n_b", "t_a", "t_b"))
+            both = [len(np.intersect1d(np.frombuffer(p, np.int64), np.frombuffer(q, np.int64), assume_unique=True)) for p, q in zip(x, y, strict=True)]
+            linked = [100 * o >= percent * (p + q - o) for o, p, q in zip(both, na, nb, strict=True)]
+            yield pa.RecordBatch.from_pydict({"u": pa.array(a, pa.int64()), "v": pa.array(b, pa.int64()), "n_u": pa.array(na, pa.int32()), "n_v": pa.array(nb, pa.int32()), "both": pa.array(both, pa.int32()), "linked": pa.array(linked, pa.bool_())})
 
     return run
 
@@ -359,39 +400,54 @@ def _answers(sets: DataFrame, percent: int) -> DataFrame | None:
     lists = sets.mapInArrow(_postings(percent), "token long, before long, cls long, n int, pos int")
     shared = lists.groupBy("token").agg(F.count("*").alias("many")).filter("many > 1").select("token")
     lists = B.settled(lists.join(shared, "token"))
-    roots, done, turn = None, None, 0
+    roots = done = compared = None
+    turn = 0
     while True:
-        now = lists.withColumn("root", F.col("cls"))
-        if roots is not None:
-            now = lists.join(roots.select(F.col("node").alias("cls"), F.col("root").alias("r")), "cls", "left").select("token", "before", "cls", "n", "pos", F.coalesce("r", "cls").alias("root"))
-        found = now.repartition("token").sortWithinPartitions("token", "n", "cls").mapInArrow(_pairs(percent, turn, turn >= ROUNDS), "a long, b long")
+        now = lists.withColumns({"root": F.col("cls"), "lead": F.lit(0).cast("long"), "lead_n": F.lit(0), "over": F.lit(-1)})
+        if compared is not None:
+            known = _leads(compared).join(roots.withColumnRenamed("node", "cls"), "cls", "full") if roots is not None else _leads(compared).withColumn("root", F.col("cls"))
+            known = B.settled(known.withColumnRenamed("root", "r"))
+            now = lists.join(known, "cls", "left").select("token", "before", "cls", "n", "pos", F.coalesce("r", "cls").alias("root"), F.coalesce("lead", F.lit(0)).alias("lead"), F.coalesce("lead_n", F.lit(0)).alias("lead_n"), F.coalesce("over", F.lit(-1)).alias("over"))
+        found = now.repartition("token").sortWithinPartitions("token", "n", "pos", "cls").mapInArrow(_pairs(percent, turn, turn >= ROUNDS), "a long, b long, linked boolean")
         found = B.settled(found.distinct())
-        pairs = found.filter("b is not null")
+        pairs = found.filter("b is not null and not linked").select("a", "b")
         if done is not None:
             pairs = B.settled(pairs.join(done, ["a", "b"], "left_anti"))
-        new = _compare(pairs, sets, percent)
-        new = B.settled(new)
+        checked = B.settled(_compare(pairs, sets, percent))
+        new = checked.filter("linked").select("u", "v").union(found.filter("linked").select("a", "b"))
         if not new.isEmpty():  # earlier links are held by the stars that they left
             roots = components(new if roots is None else roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(new))
         rest = found.filter("b is null").select(F.col("a").alias("token"))
         if rest.isEmpty():
             return roots
         done = pairs if done is None else done.union(pairs)
+        compared = checked if compared is None else compared.union(checked)
         lists = B.settled(lists.join(rest, "token", "left_semi"))
         turn += 1
 
 
+def _leads(compared: DataFrame) -> DataFrame:
+    """cls, lead, lead_n, over: for each compared set the one of most comparisons that it was compared with."""
+    side = lambda x, y: compared.select(F.col(x).alias("cls"), F.col(f"n_{x}").alias("n"), F.col(y).alias("lead"), F.col(f"n_{y}").alias("lead_n"), F.col("both").alias("over"))
+    both = side("u", "v").union(side("v", "u"))
+    often = both.groupBy("lead", "lead_n").agg(F.count("*").alias("often"))
+    itself = often.select(F.col("lead").alias("cls"), "lead", "lead_n", F.col("lead_n").alias("over"), "often")  # a set's overlap with itself
+    every = both.select("cls", "lead", "over").join(often, "lead").select("cls", "lead", "lead_n", "over", "often").union(itself)
+    best = every.groupBy("cls").agg(F.max(F.struct("often", "lead", "over", "lead_n")).alias("x"))
+    return best.select("cls", "x.lead", "x.lead_n", "x.over")
+
+
 #: Ids of sets that are sent to all tasks at most, to leave other sets out before the shuffle.
 SENT_IDS = 300_000
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """u, v: the pairs that link, by the size of their sets' intersection."""
+    """u, v, their sizes, both, linked: the pairs with the size of their sets' intersection."""
     ids = B.settled(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
     few = ids.count() <= SENT_IDS
     own = sets.join(F.broadcast(ids) if few else ids, "cls", "left_semi")
     side = lambda x: own.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(percent), "u long, v long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(percent), "u long, v long, n_u int, n_v int, both int, linked boolean")
 
 
 def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -400,24 +456,26 @@ def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Da
     A row's key is a 64-bit hash of doc_id and text, so rows that share a doc_id, or have none, go or stay by their own text. Of
     rows with one key the least by the other columns stays. Rows without a word all stay.
     """
+    (k_,) = B.unused(docs, "key")
     key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
     found = linked_documents(docs.select(key.alias("doc_id"), "text"), k, percent).filter("n_shingles > 0")
-    found = B.settled(found.groupBy(F.col("doc_id").alias("__key"), F.col("component_id").alias("at")).agg(F.count("*").alias("many")))
-    own = docs.select(key.alias("__key"), F.col("doc_id").alias("id")).distinct()
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__key")).alias("first")
-    kept = found.join(own, "__key").groupBy("at").agg(first).select("first.__key")
-    gone = B.settled(found.select("__key").join(kept, "__key", "left_anti"))
-    again = B.settled(found.filter("many > 1").select("__key").join(gone, "__key", "left_anti"))
-    rest = docs.withColumn("__key", key).join(gone, "__key", "left_anti")
+    found = B.settled(found.groupBy(F.col("doc_id").alias(k_), F.col("component_id").alias("at")).agg(F.count("*").alias("many")))
+    own = docs.select(key.alias(k_), F.col("doc_id").alias("id")).distinct()
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", k_)).alias("first")
+    kept = found.join(own, k_).groupBy("at").agg(first).select(f"first.{k_}")
+    gone = B.settled(found.select(k_).join(kept, k_, "left_anti"))
+    again = B.settled(found.filter("many > 1").select(k_).join(gone, k_, "left_anti"))
+    rest = docs.withColumn(k_, key).join(gone, k_, "left_anti")
     if again.isEmpty():
-        return rest.select(*docs.columns)
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    one = rest.join(again, "__key", "left_semi").groupBy("__key").agg(F.min(F.struct(*others, "doc_id", "text")).alias("row"))
-    return rest.join(again, "__key", "left_anti").select(*docs.columns).unionByName(one.select(*(F.col(f"row.{c}").alias(c) for c in docs.columns)))
+        return B.own(rest, *docs.columns)
+    names = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    one = rest.join(again, k_, "left_semi").groupBy(k_).agg(F.min(F.struct(*names, "doc_id", "text")).alias("row"))
+    return B.own(rest.join(again, k_, "left_anti"), *docs.columns).unionByName(one.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns)))
 
 
 def op6_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
-    return linked_documents(B.table(spark, sf_dir, "documents"))
+    """Every document with its component of links at 4-word shingles and a similarity of 0.85."""
+    return linked_documents(B.table(spark, sf_dir, "documents"), OP6_SHINGLE, OP6_PERCENT)
 
 
 OP6_SQL = r"""

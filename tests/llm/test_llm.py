@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -78,13 +79,45 @@ def test_jaccard_join(spark):
             w[p] = random.choice(WORDS)
         near.append(" ".join(w))
     for texts in (TEXTS, TEXTS + near):
-        got = {r[0]: tuple(r)[1:] for r in jaccard_join.linked_documents(frame(spark, texts)).collect()}
+        got = {r[0]: tuple(r)[1:] for r in jaccard_join.linked_documents(frame(spark, texts), 4, 85).collect()}
         assert got == brute_components(texts)
-    kept = jaccard_join.one_of_each(frame(spark))
+    kept = jaccard_join.one_of_each(frame(spark), 4, 85)
     assert {r["doc_id"] for r in kept.collect()} == {k for k, (_, c) in brute_components(TEXTS).items() if k == c}
     assert jaccard_join.linked_documents(frame(spark).limit(0)).count() == 0
 
 
+def _list(sets, token, percent, order, over=None):
+    """The posting list of a token over sets that are sorted by order."""
+    rows = sorted((len(x), sorted(x, key=order.index).index(token), c) for c, x in sets.items() if token in x)
+    at = {c: i for i, (_, _, c) in enumerate(rows)}
+    lead, over = over or (0, {})
+    columns = {"token": [0] * len(rows), "before": [-1] * len(rows), "cls": [c for *_, c in rows], "n": [n for n, *_ in rows], "pos": [p for _, p, _ in rows], "root": [c for *_, c in rows], "lead": [lead] * len(rows), "lead_n": [len(sets[lead])] * len(rows), "over": [over.get(c, -1) for *_, c in rows]}
+    return jaccard_join.PostingList({k: np.array(v, np.int64) for k, v in columns.items()}), at
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85])
+def test_posting_lists_skip_by_position_and_answers_follow(percent):
+    own = random.Random(percent)
+    order = list(range(60))
+    base = own.sample(order, 30)
+    sets = {c: set(own.sample(base, own.randrange(18, 31)) + own.sample(order, own.randrange(0, 6))) for c in range(80)}
+    skipped = decided = 0
+    for token in own.sample(base, 6):
+        over = (0, {c: len(sets[0] & x) for c, x in sets.items() if own.random() < 0.8})
+        x, at = _list(sets, token, percent, order, over)
+        for c, i in at.items():
+            reach = x.reach(i, percent)
+            others = np.array([j for j in at.values() if j != i])
+            link = {j: 100 * len(sets[c] & sets[d]) >= percent * len(sets[c] | sets[d]) for d, j in at.items()}
+            before = lambda a, b: not any(t < token for t in a & b)  # noqa: E731  token is the first that they share
+            assert {j for d, j in at.items() if j != i and link[j] and before(sets[c], sets[d])} <= set(reach.tolist())
+            for j, tell in zip(others.tolist(), x.known(i, others, percent).tolist()):
+                assert not tell or (tell == 1) == link[j]
+                decided += tell != 0
+        skipped += x.skipped
+    assert skipped and decided
+
+
 def test_pipeline_drops_near_copies_at_five_words_and_80_percent(spark):
     import corpus_pipeline
 
