@@ -40,24 +40,22 @@ SHINGLE, PERCENT = 5, 80
 OP6_SHINGLE, OP6_PERCENT = 4, 85
 #: Shingles that one bucket of the index holds on average (packed), and shared ones that it returns at once.
 BUCKET_SHINGLES, SHARED_ROWS = 6_000_000, 1_000_000
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+_LOWER = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Lists with at most so many pairs across components are compared in full at once.
 FULL = 64
 #: Sets that one outside the largest component of a list meets in a round; full comparison follows after ROUNDS.
 TRIES, ROUNDS = 2, 4
 
 
-def _sets(texts, seen: B.WordHash, k: int):
+def _sets(texts, k: int):
     """For each text its sorted distinct shingle hashes."""
-    words, sizes = [], []
-    for t in texts:
-        own = t.translate(_LOWER).split() if t else []
-        sizes.append(len(own))
-        words += own
-    h = seen.of(words)
+    own = [B.spaced(t, _LOWER) if t else b"" for t in texts]
+    whole = b" ".join([t for t in own if t])
+    h = B.words_of(whole)[2] if whole else np.empty(0, np.uint64)
     g = B.grams(h, k)
     at = 0
-    for n in sizes:
+    for t in own:
+        n = t.count(b" ") + 1 if t else 0
         if n >= k:
             yield np.unique(g[at : at + n - k + 1])
         elif n:
@@ -71,12 +69,11 @@ def _spread(k: int, buckets: int):
     """Kind 0: shingles of this block's classes by bucket of shingle; kind 1: its documents, by any bucket."""
 
     def run(batches):
-        seen = B.WordHash()
         step = -(-(1 << 64) // buckets)
         for columns, texts in B.blocks(batches):
             ids = columns["doc_id"].cast(pa.int64())
             known, owner, sizes, sets = {}, [], [], []
-            for s in _sets(texts, seen, k):
+            for s in _sets(texts, k):
                 c = int(xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s)) >> 1) if len(s) else -1
                 if c not in known:
                     known[c] = len(s)

@@ -18,7 +18,6 @@ empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +37,10 @@ _NONE = 2**63 - 1
 
 def _hot(window: int):
     def run(batches):
-        seen = B.WordHash()
         for _, texts in B.blocks(batches):
-            words = b" ".join(t for t in texts if t).split()
-            g = B.grams(seen.of(words), GRAM)
+            whole = b" ".join([x for t in texts if t and (x := B.spaced(t))])
+            words = B.words_of(whole)[2] if whole else np.empty(0, np.uint64)
+            g = B.grams(words, GRAM)
             span = window - GRAM + 1
             least = g[: len(g) // span * span].reshape(-1, span).min(axis=1) if len(g) >= span else g[:0]
             keys, counts = B.heavy(least, HOT_SHARE)
@@ -69,48 +68,45 @@ def _window_hash(h: np.ndarray, w: int) -> np.ndarray:
 
 def _spread(window: int, buckets: int, hot: np.ndarray):
     def run(batches):
-        seen = B.WordHash()
         for columns, texts in B.blocks(batches):
-            yield from _block(columns["doc"].to_numpy(zero_copy_only=False), columns["tag"].to_numpy(zero_copy_only=False), texts, seen, window, buckets, hot)
+            yield from _block(columns["doc"].to_numpy(zero_copy_only=False), columns["tag"].to_numpy(zero_copy_only=False), texts, window, buckets, hot)
 
     return run
 
 
-def _block(docs, tags, texts, seen, window, buckets, hot):
+def _block(docs, tags, texts, window, buckets, hot):
     order = np.lexsort((tags, docs))
-    words, which, first = [], [], []
+    parts, which, sizes = [], [], []
     for i in order.tolist():
-        if texts[i] and len(own := texts[i].split()) >= window:
+        if texts[i] and (n := (t := B.spaced(texts[i])).count(b" ") + 1) >= window:
             which.append(i)
-            first.append(len(words))
-            words += own
-    if not words:
+            sizes.append(n)
+            parts.append(t)
+    if not parts:
         return
-    ends = np.array([*first[1:], len(words)], np.int64)
-    first = np.array(first, np.int64)
-    h = seen.of(words)
+    whole = b" ".join(parts)
+    del parts
+    sizes = np.array(sizes, np.int64)
+    first = np.cumsum(sizes) - sizes
+    begin, end, h = B.words_of(whole)
     g = B.grams(h, GRAM)
     g[B.is_in(g, hot)] = B.TOP
     key = B.sliding_min(g, window - GRAM + 1)
     if (none := key == B.TOP).any():
         key = np.where(none, _window_hash(h, window), key)
-    doc_of = np.repeat(np.arange(len(which)), ends - first)
-    valid = np.zeros(len(key), bool)
-    valid[:] = doc_of[: len(key)] == doc_of[window - 1 :]
+    doc_of = np.repeat(np.arange(len(which)), sizes)
+    valid = doc_of[: len(key)] == doc_of[window - 1 :]
     fresh = np.ones(len(key), bool)
     fresh[1:] = (key[1:] != key[:-1]) | ~valid[:-1]
     starts = np.flatnonzero(valid & fresh)
     stop = np.flatnonzero(valid & np.append(fresh[1:] | ~valid[1:], True))
     count = stop - starts + 1
-    size = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    at = np.zeros(len(words) + 1, np.int64)
-    np.cumsum(size, out=at[1:])
-    whole = b" ".join(words)
-    del words
-    low, high = at[starts].tolist(), (at[starts + count + window - 1] - 1).tolist()
-    known: dict[bytes, int] = {}
-    lead = np.fromiter((known.setdefault(whole[a:b], j) for j, (a, b) in enumerate(zip(low, high, strict=True))), np.int64, len(low))
-    del known
+    low, high = begin[starts].tolist(), end[starts + count + window - 2].tolist()
+    _, at, of = np.unique(B.runs_hash(h, starts, count + window - 1), return_index=True, return_inverse=True)
+    lead = at[of]
+    for j in np.flatnonzero(lead != np.arange(len(lead))).tolist():
+        if whole[low[j] : high[j]] != whole[low[lead[j]] : high[lead[j]]]:
+            lead[j] = j  # two hashes coincide: it travels by itself
     owner = doc_of[starts]
     doc, tag = docs[which][owner], tags[which][owner]
     start = (starts - first[owner]).astype(np.int32)
@@ -149,31 +145,17 @@ def _solve(blobs: list[bytes], window: int):
     doc, tag, start, count = column(0, np.int64), column(1, np.int64), column(2, np.int32), column(3, np.int32)
     found = [(column(5, np.int64), column(6, np.int64), column(7, np.int32), column(8, np.int32))]
     if len(doc):
-        words = b" ".join(bytes(p[4]).replace(b"\n", b" ") for p in parts if len(p[4])).split(b" ")
-        number: defaultdict = defaultdict()
-        number.default_factory = number.__len__
-        ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-        del number, words
+        whole = b"\n".join([p[4] for p in parts if len(p[4])])
+        begin, end, h = B.words_of(whole)
         length = count + window - 1
-        base = np.zeros(len(length), np.int64)
-        np.cumsum(length[:-1], out=base[1:])
+        base = np.cumsum(length, dtype=np.int64) - length
         order = np.lexsort((start, tag, doc))
         n = count[order]
         run = np.repeat(order, n)
         inside = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
         place = base[run] + inside
-        hashed = _window_hash(B.mix(ids.astype(np.uint64) + B.M1), window)[place]
-        by = np.argsort(hashed, kind="stable")
-        same = np.zeros(len(by), bool)
-        same[1:] = hashed[by][1:] == hashed[by][:-1]
-        leader = by[np.maximum.accumulate(np.where(same, 0, np.arange(len(by))))]
-        late, early = by[same], leader[same]
-        step = np.arange(window)
-        for a in range(0, len(late), 100_000):
-            x, y = place[late[a : a + 100_000]], place[early[a : a + 100_000]]
-            if (ids[x[:, None] + step] != ids[y[:, None] + step]).any():
-                late, early = _exact(ids, place, window)
-                break
+        late, early = _equal(_window_hash(h, window)[place])
+        late, early = _confirmed(whole, begin[place], end[place + window - 1], run, late, early)
         at = start[run] + inside
         there = (doc[run[late]] != doc[run[early]]) | (tag[run[late]] != tag[run[early]]) | (at[late] != at[early])
         flag = np.zeros(len(run), bool)
@@ -187,15 +169,39 @@ def _solve(blobs: list[bytes], window: int):
     return [np.concatenate(x) for x in zip(*found, strict=True)]
 
 
-def _exact(ids, place, window):
-    """Leaders by the windows' own words; used only where two hashes coincide."""
+def _equal(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(late, early): places whose hash stands at an earlier place too, ascending, and the first such place."""
+    by = np.argsort(hashes)
+    sorted_ = hashes[by]
+    new = np.ones(len(by), bool)
+    new[1:] = sorted_[1:] != sorted_[:-1]
+    cuts = np.flatnonzero(new)
+    size = np.diff(np.append(cuts, len(by)))
+    many = np.repeat(size > 1, size)
+    if not many.any():
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    by, size = by[many], size[size > 1]
+    first = np.repeat(np.minimum.reduceat(by, np.cumsum(size) - size), size)
+    late = by != first
+    order = np.argsort(by[late])
+    return by[late][order], first[late][order]
+
+
+def _confirmed(whole: bytes, low, high, run, late, early):
+    """The pairs of windows that are equal word by word. Runs of windows whose first places run along too are compared as one text."""
+    if not len(late):
+        return late, early
+    new = np.ones(len(late), bool)
+    new[1:] = (late[1:] != late[:-1] + 1) | (early[1:] != early[:-1] + 1) | (run[late[1:]] != run[late[:-1]]) | (run[early[1:]] != run[early[:-1]])
+    cuts = np.flatnonzero(new)
+    last = np.append(cuts[1:], len(late)) - 1
+    ends = (low[late[cuts]].tolist(), high[late[last]].tolist(), low[early[cuts]].tolist(), high[early[last]].tolist())
+    if all(whole[a:z] == whole[b:y] for a, z, b, y in zip(*ends, strict=True)):
+        return late, early
+    #: Two hashes coincide: all windows by their own words.
     first: dict[bytes, int] = {}
-    late, early = [], []
-    for j, p in enumerate(place.tolist()):
-        if (k := first.setdefault(ids[p : p + window].tobytes(), j)) != j:
-            late.append(j)
-            early.append(k)
-    return np.array(late, np.int64), np.array(early, np.int64)
+    same = [(j, k) for j, (a, z) in enumerate(zip(low.tolist(), high.tolist(), strict=True)) if (k := first.setdefault(whole[a:z], j)) != j]
+    return np.array([j for j, _ in same], np.int64), np.array([k for _, k in same], np.int64)
 
 
 def _buckets(window: int):
