@@ -20,7 +20,7 @@
 Skew. Equal sets of a block of rows are sent once. Postings are numbers, sorted in bounded buckets. A group of copies has
 one class; a group of near copies gives about as many pairs as sets in each round.
 
-Defined results: null or empty text has no shingle and links with nothing; fewer words than a shingle are one shingle;
+Defined results: null or empty text has no shingle and links with nothing; a text of any length gives all its shingles; sets at the limit itself link; fewer words than a shingle are one shingle;
 a null doc_id is smaller than none (it is never a component_id unless all are null); repeated rows are returned each; empty
 table, empty result. Other columns are not read.
 """

@@ -10,8 +10,8 @@ Only windows that share a shingle with some template are signed, as others have
 only near anchors (every shingle of every template has an anchor word). Templates are a fixed list, given as a parameter; their bands (BOUND at most) are sent to all tasks. Documents are neither
 shuffled nor grouped, but for the few windows that match.
 
-Defined results: null or empty text matches nothing and has an empty array; a null doc_id stays (such rows are one document here); rows with one doc_id have their
-matches together; an empty table gives an empty result; other columns are not read.
+Defined results: null or empty text matches nothing and has an empty array; a null doc_id stays (such rows are one document here); rows with one doc_id, also repeated ones, have their
+matches together and are returned each; a text of any length is read whole; of two templates that fit the same words both are reported; a template of fewer than five words is an error; an empty table gives an empty result; other columns are not read.
 """
 from __future__ import annotations
 
@@ -81,7 +81,7 @@ def _bands(words, start, width: int):
 
 def _template_bands(spark, templates: dict[str, str]) -> DataFrame:
     """template, shingles array<string>, n words, band."""
-    rows = [(k, w, _class_of(len(w))) for k, w in ((k, _python_words(t)) for k, t in sorted(templates.items())) if len(w) >= SHINGLE]
+    rows = [(k, w, _class_of(len(w))) for k, w in ((k, _python_words(t)) for k, t in sorted(templates.items()))]
     table = spark.createDataFrame([(k, w, list(dict.fromkeys(_shingles(w))), c) for k, w, c in rows], "template string, words array<string>, shingles array<string>, width int")
     if sum(len(w) * BANDS for _, w, _ in rows) > BOUND:
         raise ValueError(f"templates have more than {BOUND} bands")
@@ -95,7 +95,11 @@ def _template_bands(spark, templates: dict[str, str]) -> DataFrame:
 
 def matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, template, start (word of the first window), containment: the verified matches of docs (doc_id, text), one row for each document and template."""
-    most = max((len(_python_words(t)) for t in templates.values()), default=0)
+    if short := sorted(k for k, t in templates.items() if len(_python_words(t)) < SHINGLE):
+        raise ValueError(f"templates of fewer than {SHINGLE} words cannot be found: {short}")
+    if not templates:
+        raise ValueError("no templates")
+    most = max(len(_python_words(t)) for t in templates.values())
     widest = max(w for w, _ in CLASSES)
     words = docs.select("doc_id", F.split(F.trim(F.regexp_replace(F.lower(F.col("text")), _WORDS, " ")), " ").alias("words"))
     anchor = anchors(templates)
@@ -147,4 +151,5 @@ def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame
 
 
 def op10_license_scans(spark, sf_dir: str) -> DataFrame:
+    """Every text of documents, scanned for the notices of TEMPLATES."""
     return scanned(B.table(spark, sf_dir, "documents"))

@@ -310,4 +310,5 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def op9_media_avi(spark, sf_dir: str) -> DataFrame:
+    """Every text of documents, stored as a film, read back and described."""
     return digest(B.table(spark, sf_dir, "documents"))

@@ -10,8 +10,9 @@ little-endian uint16, width entries, padded), cu_seqlens (0 and the ends of segm
 position ids start again from position_starts), doc_ids and chunks of the segments. unpack_documents restores the ids.
 
 Tokens: byte tokens (byte + 3; 0 pads, 1 ends a document), or any ids below 65,536 given as a column ids.
-Defined results: null or empty text is a document of the end token alone; a null doc_id stays null; repeated rows are packed
-each; an empty table gives no rows; other columns are not read.
+Defined results: null or empty text is a document of the end token alone; null or empty ids without an end are an empty segment, so that no
+document is lost; a null doc_id stays null; equal lengths go by the order of rows; repeated rows are packed each; a text of any length is cut into chunks; an id of 65,536 or
+more is an error; an empty table gives no rows; other columns are not read.
 """
 from __future__ import annotations
 
@@ -23,6 +24,8 @@ from . import _blocks as B
 
 WIDTH = 8192
 PAD, END, FIRST = 0, 1, 3
+#: Ids that one block holds at most (a longer document is a block of its own).
+BLOCK_IDS = 4 << 20
 
 SCHEMA = "seq_id string, n_tokens int, ids binary, cu_seqlens array<int>, position_resets array<int>, position_starts array<long>, doc_ids array<long>, chunks array<int>"
 
@@ -84,10 +87,12 @@ def _pack_block(docs: list, ids: list[np.ndarray], width: int):
     chunks = [(i, a) for i, x in enumerate(ids) for a in range(0, max(1, len(x)), width)]
     lengths = [min(width, len(ids[i]) - a) for i, a in chunks]
     keep = [j for j, n in enumerate(lengths) if n]
+    empty = [chunks[j] for j, n in enumerate(lengths) if not n]  # documents without an id: empty segments of the first row
     out: dict[str, list] = {x.split()[0]: [] for x in SCHEMA.split(", ")}
-    for row in best_fit_decreasing([lengths[j] for j in keep], width):
-        parts = [chunks[keep[r]] for r in row]
-        sizes = [lengths[keep[r]] for r in row]
+    rows = best_fit_decreasing([lengths[j] for j in keep], width) or ([[]] if empty else [])
+    for at_row, row in enumerate(rows):
+        parts = [chunks[keep[r]] for r in row] + (empty if at_row == 0 else [])
+        sizes = [lengths[keep[r]] for r in row] + ([0] * len(empty) if at_row == 0 else [])
         matrix = np.full(width, PAD, "<u2")
         at = np.cumsum([0, *sizes]).tolist()
         for (i, a), s, n in zip(parts, at, sizes, strict=False):
@@ -124,11 +129,25 @@ def pack_texts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def pack_ids(encoded: DataFrame, width: int = WIDTH, end: int | None = None) -> DataFrame:
     """Matrices of documents that are encoded already: doc_id, ids array<int> (each below 65,536); end is appended if given."""
 
+    tail = np.array([] if end is None else [end], np.uint16)
+
     def run(batches):
+        docs, ids, held = [], [], 0
         for b in batches:
-            tail = [] if end is None else [end]
-            ids = [np.array([*(x or []), *tail], np.uint16) for x in b.column("ids").to_pylist()]
-            yield from _batches(_pack_block(b.column("doc_id").cast(pa.int64()).to_pylist(), ids, width))
+            lists = b.column("ids")
+            flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            for doc, a, z, known in zip(b.column("doc_id").cast(pa.int64()).to_pylist(), offsets, offsets[1:], lists.is_valid().to_pylist(), strict=False):
+                own = flat[a:z] if known else flat[:0]
+                if len(own) and not 0 <= own.min() <= own.max() < 1 << 16:
+                    raise ValueError("ids are to be below 65,536")
+                docs.append(doc)
+                ids.append(np.concatenate([own.astype(np.uint16), tail]))
+                held += len(own) + 1
+                if held > BLOCK_IDS:
+                    yield from _batches(_pack_block(docs, ids, width))
+                    docs, ids, held = [], [], 0
+        if docs:
+            yield from _batches(_pack_block(docs, ids, width))
 
     return encoded.select("doc_id", "ids").mapInArrow(run, SCHEMA)
 
@@ -156,4 +175,5 @@ def write_packed(packed: DataFrame, path: str) -> None:
 
 
 def op1_token_packing(spark, sf_dir: str) -> DataFrame:
+    """Every text of documents as byte tokens in packed matrices."""
     return pack_texts(B.table(spark, sf_dir, "documents"))

@@ -9,7 +9,7 @@ The counts are made in one pass and checkpointed as numbers; the references are
 broadcast only where Spark finds them small. No row is grouped with others but by partial sums.
 
 Defined results: null text is empty and fails the base rules; a null lang is a language of its own; a null doc_id stays; repeated rows are returned
-each; a language without any passing document rejects nothing; an empty table gives an empty result; other columns are not read.
+each; equal texts of a language have equal distances; a text of any length is counted whole; a distance of a text without characters (or words) is null; a language without any passing document rejects nothing; an empty table gives an empty result; other columns are not read.
 """
 from __future__ import annotations
 
@@ -83,7 +83,7 @@ def distance(p: Column, q: Column) -> Column:
     part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
     pair = lambda a, b: _let((a + b) / 2, lambda m: (part(a, m) + part(b, m)) / 2)
     value = _let(F.struct(total(p).alias("p"), total(q).alias("q")), lambda n: F.when((n["p"] > 0) & (n["q"] > 0), F.aggregate(F.zip_with(p, q, lambda a, b: pair(a / n["p"], b / n["q"])), F.lit(0.0), lambda s, x: s + x)))
-    return F.sqrt(F.greatest(value, F.lit(0.0)))
+    return _let(value, lambda v: F.sqrt(F.when(v < 0, 0.0).otherwise(v)))
 
 
 def judged(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT, word_spread: float = WORD_SPREAD) -> DataFrame:
@@ -105,4 +105,5 @@ def judged(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float =
 
 
 def op4_quality_divergence(spark, sf_dir: str) -> DataFrame:
+    """Every text of documents with its base counts and verdict."""
     return judged(B.table(spark, sf_dir, "documents"))

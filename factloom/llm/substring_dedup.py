@@ -11,7 +11,7 @@ a bucket that has nothing to do with the passage. So a passage that a third of a
 nothing but such grams goes by its own hash. There are at most 2 / HOT_SHARE of them, which bounds what is
 sent to tasks. (3) The number of buckets follows the number of words.
 
-Defined results: null, empty and short texts have no window and lose nothing; a null doc_id sorts last;
+Defined results: null, empty and short texts have no window and lose nothing; a text of any length is read whole; a null doc_id sorts last;
 rows with the same doc_id and text are the same place, so neither repeats the other; an empty table gives an
 empty result; other columns are not read.
 """
@@ -309,6 +309,7 @@ def _gaps(spans, words):
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """Every text of documents without the windows that start earlier too."""
     return dedup_digest(B.table(spark, sf_dir, "documents"))
 
 

@@ -2,13 +2,14 @@
 
 Features of a url: length, depth, digit ratio, entropy of its characters, number of parameters, hyphens and labels of the host, and
 statistics of its suffixes: the smoothed share of blocked urls among labelled ones with the same last host label, last two labels, and
-first path segment. Boosting: Newton steps on logistic loss over a histogram of each feature, fitted by the driver on a bounded
+first path segment (for the fit of trees, among the urls of the other folds). Boosting: Newton steps on logistic loss over a histogram of each feature, fitted by the driver on a bounded
 sample of labelled urls (at most SAMPLE distinct ones, the least by hash; at most SUFFIXES values of each suffix). The trees become one
 Spark expression, so scoring stays in the scan's stage and shuffles nothing.
 
 Defined results: a null url, or one without ``://``, has empty host and path and fits no rule; its features are those of
 an empty text. Without labelled urls of both kinds the method's verdict is the common one (allow without any). A rule fits its host and all
-subdomains if the path starts with the rule's; the longest rule wins. Rows, also repeated ones, are returned each; other columns are not read.
+subdomains if the path starts with the rule's; the longest rule wins. Of rules of equal length the last by name wins; a url of any length is
+judged whole; an empty table gives an empty result. Rows, also repeated ones, are returned each; a null page_id stays; other columns are not read.
 """
 from __future__ import annotations
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import _blocks as B
 
-SAMPLE, SUFFIXES = 20_000, 256
+SAMPLE, SUFFIXES, FOLDS = 20_000, 256, 5
 ROUNDS, DEPTH, RATE, BINS, LEAST, RIDGE = 16, 3, 0.4, 24, 8.0, 1.0
 
 
@@ -151,27 +152,35 @@ def _boost(rows: list[list[float]], y: list[int], n: list[float]) -> tuple[float
     return base, trees
 
 
-def fit(labelled: DataFrame) -> Model:
-    """labelled: url, blocked (0 or 1). A bounded sample is read, see SAMPLE."""
-    urls = labelled.filter("url is not null and blocked is not null").groupBy("url").agg(F.max("blocked").alias("blocked"))
-    urls = urls.orderBy(F.xxhash64("url"), "url").limit(SAMPLE)
-    host, path = host_and_path(F.col("url"))
-    rows = urls.withColumns({"h": host, "p": path}).select("blocked", F.array(*lexical(F.col("url"), F.col("h"), F.col("p"))).alias("x"), F.array(*_suffixes(F.col("h"), F.col("p"))).alias("s"))
-    rows = [(r["blocked"], list(r["x"]), list(r["s"])) for r in rows.collect()]
-    mean = sum(r[0] for r in rows) / len(rows) if rows else 0.0
-    rates = []
+def _rates(rows, mean: float) -> list[dict[str, float]]:
+    """For each suffix the smoothed share of blocked urls of its most frequent values."""
+    out = []
     for k in range(3):
         seen: dict[str, list[int]] = {}
-        for y, _, s in rows:
+        for y, _, s, _ in rows:
             x = seen.setdefault(s[k], [0, 0])
             x[0] += y
             x[1] += 1
         most = sorted(seen, key=lambda v: (-seen[v][1], v))[:SUFFIXES]
-        rates.append({v: round((seen[v][0] + 10 * mean) / (seen[v][1] + 10), 2) for v in most if seen[v][1] >= 5})
+        out.append({v: round((seen[v][0] + 10 * mean) / (seen[v][1] + 10), 2) for v in most if seen[v][1] >= 5})
+    return out
+
+
+def fit(labelled: DataFrame) -> Model:
+    """labelled: url, blocked (0 or 1). A bounded sample is read, see SAMPLE."""
+    urls = labelled.filter("url is not null and blocked is not null").groupBy("url").agg(F.max("blocked").alias("blocked"))
+    urls = urls.orderBy(F.xxhash64("url"), "url").limit(SAMPLE)
+    host, path = host_and_path(F.col("url"))
+    rows = urls.withColumns({"h": host, "p": path}).select("blocked", F.array(*lexical(F.col("url"), F.col("h"), F.col("p"))).alias("x"), F.array(*_suffixes(F.col("h"), F.col("p"))).alias("s"), F.pmod(F.crc32(F.col("url").cast("binary")), F.lit(FOLDS)).cast("int").alias("fold"))
+    rows = [(r["blocked"], list(r["x"]), list(r["s"]), r["fold"]) for r in rows.collect()]
+    mean = sum(r[0] for r in rows) / len(rows) if rows else 0.0
+    rates = _rates(rows, mean)
+    #: A row's own label is not among those that its suffixes' shares are made of when trees are fitted.
+    others = [_rates([r for r in rows if r[3] != f], mean) for f in range(FOLDS)]
     mean = round(mean, 2)
     same: dict[tuple, list[float]] = {}
-    for y, x, s in rows:
-        same.setdefault((y, *x, *(rates[k].get(s[k], mean) for k in range(3))), []).append(1.0)
+    for y, x, s, f in rows:
+        same.setdefault((y, *x, *(others[f][k].get(s[k], mean) for k in range(3))), []).append(1.0)
     keys = sorted(same)
     base, trees = _boost([list(k[1:]) for k in keys], [k[0] for k in keys], [sum(same[k]) for k in keys])
     return Model(base, trees, rates, mean)
@@ -194,4 +203,5 @@ def judged(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None) ->
 
 
 def op3_url_filters(spark, sf_dir: str) -> DataFrame:
+    """Every url of pages, judged by RULES, then by trees."""
     return judged(B.table(spark, sf_dir, "pages"))
