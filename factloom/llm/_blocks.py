@@ -27,12 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder named by spark.checkpoint.dir.
 
-    The session's folder is used where one is set. Only where none is (a single-machine
-    test session) a temporary one is made.
+    The session's folder is used where one is set. Only a single-machine session without one makes a temporary folder; others
+    raise RuntimeError.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not at and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is to name a folder that all machines share")
         sc.setCheckpointDir(at or "file://" + tempfile.mkdtemp(prefix="factloom-checkpoint-", dir=os.environ.get("TMPDIR")))
     return df.checkpoint(eager=True)
 
