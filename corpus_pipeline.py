@@ -1,9 +1,8 @@
 """A corpus pipeline: toxicity, n-gram Jaccard join, substring dedup, mixing to target weights, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's docs. All but the
-last return the columns of documents. Toxic documents go; one document of each group linked at 5-word shingles and a similarity of 0.8 stays (the smallest doc_id); words of
-repeated windows go from texts; the mix takes documents once for each epoch, cut where a source's target ends; the last
-stage encodes each row.
+last return the columns of documents, and others that docs has, whatever their names. Null, empty and very long texts, ties, repeated
+rows and empty tables are handled as each operator's own module says; an empty table passes every stage as one.
 """
 from __future__ import annotations
 
@@ -18,6 +17,7 @@ from factloom.llm import bpe, jaccard_join, mixing, substring_dedup, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those that are predicted toxic, by a model learnt from labels; without labels of both kinds all stay."""
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -26,18 +26,22 @@ NEAR_SHINGLE, NEAR_PERCENT = 5, 80
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of copies and near copies: the smallest doc_id, null last. Documents without a word all stay."""
     return jaccard_join.one_of_each(docs, NEAR_SHINGLE, NEAR_PERCENT)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without the words of 20-word windows that start earlier too; every row stays, if with an empty text."""
     return substring_dedup.dedup_texts(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a document once for each epoch that takes it, cut where its source's target ends. Rows without a word go."""
     return mixing.mixture(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id and digests of each row's ids and of the decoded text; a null text is an empty one."""
     return bpe.digest(docs, public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
@@ -53,9 +57,15 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _local_folder(spark: SparkSession) -> str:
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir is to name a folder that all machines share")
+    return "file://" + tempfile.mkdtemp(prefix="corpus-pipeline-", dir=os.environ.get("TMPDIR"))
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents; tables between them are in the shared folder of spark.checkpoint.dir."""
-    at = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corpus-pipeline-", dir=os.environ.get("TMPDIR"))
+    at = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or _local_folder(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
