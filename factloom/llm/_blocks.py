@@ -72,13 +72,13 @@ def spaced(text: bytes, table: bytes = _SPACES) -> bytes:
     return b" ".join(t.split()) if b"  " in t or t[:1] == b" " or t[-1:] == b" " else t
 
 
-def words_of(whole: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, 64-bit hash) of each word of a text whose words stand between single spaces or line ends.
+def words_of(whole: bytes, lines: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, 64-bit hash) of each word of a text whose words stand between single spaces (or, with lines, line ends).
 
     A hash is a polynomial of the word's bytes, taken from running sums, so that no word is an object.
     """
     data = np.frombuffer(whole, np.uint8)
-    gaps = np.flatnonzero((data == 32) | (data == 10))
+    gaps = np.flatnonzero((data == 32) | (data == 10) if lines else data == 32)
     start, end = np.concatenate([[0], gaps + 1]), np.append(gaps, len(data))
     out = np.empty(len(start), np.uint64)
     a = 0
@@ -154,6 +154,17 @@ def blocks(batches, text: str = "text", limit: int = BLOCK_BYTES):
                 yield {n: part.column(n) for n in names}, texts.slice(a, z - a).to_pylist()
 
 
+def gathered(pool: list[bytes], which: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The entries of pool that which names, one after the other, and where each starts (and the last one ends)."""
+    size = np.fromiter(map(len, pool), np.int64, len(pool))
+    many = size[which]
+    at = np.zeros(len(which) + 1, np.int64)
+    np.cumsum(many, out=at[1:])
+    places = np.repeat((np.cumsum(size) - size)[which] - at[:-1], many)
+    places += np.arange(at[-1])
+    return np.frombuffer(b"".join(pool), np.uint8)[places].tobytes(), at
+
+
 def pack(*parts: bytes | np.ndarray) -> bytes:
     """Parts as one compressed blob."""
     raw = [p.tobytes() if isinstance(p, np.ndarray) else p for p in parts]

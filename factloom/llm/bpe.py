@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import re
 from collections import Counter
 
 import numpy as np
@@ -30,12 +31,13 @@ from pyspark.sql import functions as F
 from . import _blocks as B
 
 #: Words whose ids are made by higher-order functions and sent to tasks, at most.
-FREQUENT = 131_072
+FREQUENT = 65_536
 #: Longest of these words in bytes: the fold's steps grow with the square.
 FREQUENT_BYTES = 32
 #: Times that a task meets a piece whose words are counted.
-LEAST = 3
-_CACHE = 400_000
+LEAST = 4
+_CACHE, _FOLDED = 400_000, 600_000
+_NO_RANK = 2**31 - 1
 
 
 @functools.cache
@@ -45,26 +47,42 @@ def ranks_of(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
 
 
-def fold(word: bytes, ranks: dict[bytes, int], whole: bool = True) -> list[int]:
+@functools.cache
+def merges_of(path: str) -> tuple[dict[int, int], list[int]]:
+    """(rank of the joined bytes of two ids a and b by key a * 2**17 + b, the ids of the 256 bytes) of a file of ranks."""
+    ranks = ranks_of(path)
+    if len(set(ranks.values())) < len(ranks) or max(ranks.values()) >> 17 or any(bytes([i]) not in ranks for i in range(256)):
+        raise ValueError(f"{path}: ids are to be distinct and below {1 << 17}, and each byte is to have one")
+    get = ranks.get
+    pairs = {a << 17 | b: r for t, r in ranks.items() for i in range(1, len(t)) if (a := get(t[:i])) is not None and (b := get(t[i:])) is not None}
+    return pairs, [ranks[bytes([i])] for i in range(256)]
+
+
+def fold(word: bytes, path: str, whole: bool = True) -> list[int]:
     """Ids of one pre-token: its own (if whole), or the adjacent pair of least rank merges (the leftmost of equals) until none has a rank."""
+    ranks = ranks_of(path)
     if whole and word in ranks:
         return [ranks[word]]
-    n = len(word)
-    if n > 200:
+    if len(word) > 200:
         return _fold_long(word, ranks)
-    cut = list(range(n + 1))
-    rank = [ranks.get(word[i : i + 2], 1 << 60) for i in range(n - 1)]
+    pairs, single = merges_of(path)
+    return _merged([single[b] for b in word], pairs.get)
+
+
+def _merged(ids: list[int], get) -> list[int]:
+    rank = [get(a << 17 | b, _NO_RANK) for a, b in zip(ids, ids[1:], strict=False)]
     while rank:
-        least = min(rank)
-        if least == 1 << 60:
+        new = min(rank)
+        if new == _NO_RANK:
             break
-        i = rank.index(least)
-        del cut[i + 1], rank[i]
+        i = rank.index(new)
+        ids[i] = new
+        del ids[i + 1], rank[i]
         if i < len(rank):
-            rank[i] = ranks.get(word[cut[i] : cut[i + 2]], 1 << 60)
+            rank[i] = get(new << 17 | ids[i + 1], _NO_RANK)
         if i:
-            rank[i - 1] = ranks.get(word[cut[i - 1] : cut[i + 1]], 1 << 60)
-    return [ranks[word[a:b]] for a, b in zip(cut, cut[1:], strict=False)]
+            rank[i - 1] = get(ids[i - 1] << 17 | new, _NO_RANK)
+    return ids
 
 
 def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -90,32 +108,26 @@ def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
-_NO_RANK = 2**31 - 1
-
-
 @functools.cache
 def _pairs_of(path: str) -> tuple[int, str, str, str, str]:
     """The ranked merges of a file as literals: slots, then (comma-separated) slot starts, keys, ranks, and the ids of the 256 bytes.
 
     The key of two adjacent ids a and b is a * 2**17 + b; it stands in slot key mod slots, with the rank of their joined bytes.
     """
-    ranks = ranks_of(path)
-    if len(set(ranks.values())) < len(ranks) or max(ranks.values()) >> 17 or any(bytes([i]) not in ranks for i in range(256)):
-        raise ValueError(f"{path}: ids are to be distinct and below {1 << 17}, and each byte is to have one")
-    found = [(ranks[t[:i]] << 17 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-    keys, values = (np.array(x, np.int64) for x in zip(*found, strict=True))
-    slots = 2 * len(keys) + 1
+    pairs, single = merges_of(path)
+    keys, values = np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs))
+    slots = len(keys) | 1
     by = np.argsort(keys % slots, kind="stable")
     starts = np.searchsorted(keys[by] % slots, np.arange(slots + 1))
     text = lambda x: ",".join(map(str, x))
-    return slots, text(starts.tolist()), text(keys[by].tolist()), text(values[by].tolist()), text(ranks[bytes([i])] for i in range(256))
+    return slots, text(starts.tolist()), text(keys[by].tolist()), text(values[by].tolist()), text(single)
 
 
 @functools.cache
 def _unreached(path: str) -> dict[str, int]:
     """Tokens (hex) that merging does not lead to; such a word has its own id all the same."""
     ranks = ranks_of(path)
-    return {t.hex().upper(): r for t, r in ranks.items() if fold(t, ranks, whole=False) != [r]}
+    return {t.hex().upper(): r for t, r in ranks.items() if fold(t, path, whole=False) != [r]}
 
 
 def encode_words(words: DataFrame, path: str, column: str = "word") -> DataFrame:
@@ -167,59 +179,103 @@ def encode_words(words: DataFrame, path: str, column: str = "word") -> DataFrame
     return words.withColumn("ids", F.when(n.isNull(), F.lit(None)).when(n == 0, none).otherwise(ids))
 
 
-class Pieces(dict):
-    """Bytes of ids that stand together, made of each id's own bytes and remembered."""
+@functools.cache
+def _folded(path: str) -> dict[str, tuple[bytes, int, bytes]]:
+    """Words that this process has met, with (ids, number of them, decoded bytes): the next task of the process finds them."""
+    return {}
 
-    def __init__(self, bytes_of: dict[bytes, bytes]):
-        self.bytes_of = bytes_of
 
-    def __missing__(self, ids: bytes) -> bytes:
-        got = self[ids] = b"".join(map(self.bytes_of.__getitem__, ids.split()))
-        return got
+#: White space after, or before, a single space: there the pattern may match across the space.
+_WHITE = rb"(?:[\x09-\x0d\x1c-\x20]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)"
+_ACROSS = re.compile(rb"\A | \Z| " + _WHITE + rb"|" + _WHITE + rb" ")
+_PLAIN_WHITE = np.zeros(256, bool)
+_PLAIN_WHITE[[*range(9, 14), *range(28, 33)]] = True
+_LEADS = np.zeros(256, bool)  # first bytes of longer white space
+_LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 class Codec(dict):
-    """Ids of texts as bytes of decimal numbers, remembered by piece; decoding by the ids' own bytes.
+    """Ids of texts as bytes of decimal numbers, and their decoding by the ids' own bytes.
 
-    known: ids of some words, made by encode_words, as decimal bytes.
+    A block of texts is cut into pieces at single spaces; its distinct pieces are found by hash, encoded and decoded once, and laid out
+    again. That the decoded block equals the texts shows that no two pieces share a hash. Pieces are remembered: (ids, number of
+    them, decoded bytes). known: ids of some words, made by encode_words, as decimal bytes.
     """
 
-    def __init__(self, pattern: str, ranks: dict[bytes, int], known: dict[str, bytes] | None = None):
+    def __init__(self, pattern: str, path: str, known: dict[str, bytes] | None = None):
         self.find = regex.compile(pattern).findall
-        self.ranks, self.known = ranks, known or {}
-        self.words: dict[str, bytes] = {}
-        self.decoded = Pieces({b"%d" % v: k for k, v in ranks.items()})
-
-    def word(self, w: str) -> bytes:
-        if (ids := self.known.get(w) or self.words.get(w)) is None:
-            ids = self.words[w] = b" ".join(b"%d" % i for i in fold(w.encode(), self.ranks))
-        return ids
-
-    def plain(self, text: str) -> bytes:
-        return b" ".join(map(self.word, self.find(text)))
-
-    def __missing__(self, piece: str) -> bytes | None:
-        bad = not piece or piece[0].isspace() or piece[-1].isspace()  # isspace() holds for all that \s matches
-        ids = self[piece] = None if bad else self.plain(" " + piece)
-        return ids
-
-    def encode(self, text: str) -> list[bytes]:
-        """Ids in decimal, as a list of bytes of one or more numbers between spaces."""
-        for cache in (self, self.words, self.decoded):
-            if len(cache) > _CACHE:
-                cache.clear()
-        if not text:
-            return []
-        pieces = text.split(" ")
-        if len(pieces) > 2 and pieces[0] and not pieces[0][-1].isspace() and pieces[-1] and not pieces[-1][0].isspace():
-            middle = [*map(self.__getitem__, pieces[1:-1])]
-            if all(middle):  # a piece has an id at least
-                return [self.plain(pieces[0]), *middle, self.plain(" " + pieces[-1])]
-        return [self.plain(text)]
-
-    def decode(self, ids: list[bytes]) -> bytes:
-        """The bytes of ids: the tokens' binary pieces, concatenated."""
-        return b"".join(map(self.decoded.__getitem__, ids))
+        self.path, self.known = path, known or {}
+        self.words = _folded(path)
+        self.bytes_of = {b"%d" % v: k for k, v in ranks_of(path).items()}
+
+    def word(self, w: str) -> tuple[bytes, int, bytes]:
+        if (got := self.words.get(w)) is None:
+            ids = self.known.get(w) or " ".join(map(str, fold(w.encode(), self.path))).encode()
+            each = ids.split()
+            got = self.words[w] = ids, len(each), b"".join(map(self.bytes_of.__getitem__, each))
+        return got
+
+    def plain(self, text: bytes) -> tuple[bytes, int, bytes]:
+        """(ids, number of them, decoded bytes) of a text by itself."""
+        found = self.find(text.decode())
+        if len(found) == 1:
+            return self.word(found[0])
+        if not found:
+            return b"", 0, b""
+        ids, many, decoded = zip(*map(self.word, found), strict=True)
+        return b" ".join(ids), sum(many), b"".join(decoded)
+
+    def __missing__(self, piece: bytes) -> tuple[bytes, int, bytes]:
+        got = self[piece] = self.plain(b" " + piece)
+        return got
+
+    def block(self, texts: list[bytes]):
+        """(ids, number of them, decoded bytes) of each text."""
+        if len(self) > _CACHE:
+            self.clear()
+        if len(self.words) > _FOLDED:
+            self.words.clear()
+        can = _separable(texts)
+        good = [t for t, c in zip(texts, can, strict=True) if c]
+        found = iter(self._laid_out(good) if good else ())
+        for t, c in zip(texts, can, strict=True):
+            yield next(found) if c else self.plain(t)
+
+    def _laid_out(self, texts: list[bytes]):
+        whole = b" ".join(texts)
+        start, end, h = B.words_of(whole, lines=False)
+        by = np.argsort(h)
+        new = np.ones(len(by), bool)
+        new[1:] = h[by[1:]] != h[by[:-1]]
+        which = np.empty(len(by), np.int64)
+        which[by] = np.cumsum(new) - 1
+        first = by[new]
+        entries = [self[whole[a:z]] for a, z in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        many = np.fromiter((t.count(b" ") + 1 for t in texts), np.int64, len(texts))
+        at = np.cumsum(many) - many
+        which[at] = np.arange(len(texts)) + len(entries)  # a text's first piece has no space before it
+        entries += [self.plain(whole[a:z]) for a, z in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+        decoded, places = B.gathered([e[2] for e in entries], which)
+        if decoded != b"".join(texts):
+            return [self.plain(t) for t in texts]  # two hashes coincide
+        ids, spots = B.gathered([e[0] + b" " for e in entries], which)
+        number = np.add.reduceat(np.fromiter((e[1] for e in entries), np.int64, len(entries))[which], at).tolist()
+        cuts, cuts_ids = np.append(places[at], places[-1]).tolist(), np.append(spots[at], spots[-1]).tolist()
+        return [(ids[a : z - 1], n, decoded[b:y]) for a, z, n, b, y in zip(cuts_ids, cuts_ids[1:], number, cuts, cuts[1:], strict=False)]
+
+
+def _separable(texts: list[bytes]) -> list[bool]:
+    """Which texts can be cut at their single spaces: no white space stands on either side of one, and none at an end."""
+    whole = b"".join(texts)
+    data = np.frombuffer(b"\0\0\0" + whole + b"\0", np.uint8)
+    at = np.flatnonzero(data == 32)
+    before, after = data[at - 1], data[at + 1]
+    odd = _PLAIN_WHITE[before] | _PLAIN_WHITE[after] | _LEADS[after] | ((before >= 0x80) & ((data[at - 2] == 0xC2) | _LEADS[data[at - 3]]))
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(size) + 3
+    doubt = np.zeros(len(texts), bool)
+    doubt[np.searchsorted(ends, at[odd], side="right")] = True
+    return [bool(t) and t[:1] != b" " and t[-1:] != b" " and not (d and _ACROSS.search(t)) for t, d in zip(texts, doubt.tolist(), strict=True)]
 
 
 def _frequent(pattern: str):
@@ -257,33 +313,33 @@ def frequent_words(docs: DataFrame, pattern: str, most: int = FREQUENT) -> DataF
 
 def known_words(docs: DataFrame, pattern: str, path: str) -> dict[str, bytes]:
     """Ids (decimal, joined by a space) of frequent words, at most FREQUENT of FREQUENT_BYTES each."""
-    words = B.checkpointed(frequent_words(docs, pattern).select("word"))
-    parts = docs.sparkSession.sparkContext.defaultParallelism
-    rows = encode_words(words.repartition(parts, "word"), path).select("word", F.concat_ws(" ", F.col("ids").cast("array<string>")).alias("ids"))
-    return {r["word"]: r["ids"].encode() for r in rows.collect()}
+    spark = docs.sparkSession
+    parts = spark.sparkContext.defaultParallelism
+    #: Dealt out before they are encoded, so that the plan that holds the literal is one stage, which is not described again.
+    words = B.checkpointed(frequent_words(docs, pattern).select("word").repartition(parts, "word"))
+    rows = encode_words(words, path).select("word", F.concat_ws(" ", F.col("ids").cast("array<string>")).alias("ids"))
+    return {r["word"]: r["ids"].encode() for r in rows.toLocalIterator()}
 
 
-def _digest(pattern, ranks, known):
+def _digest(pattern, path, known):
     def run(batches):
-        codec = Codec(pattern, ranks, known)
+        codec = Codec(pattern, path, known)
         for columns, texts in B.blocks(batches):
             n, ids_sha, text_sha = [], [], []
-            for t in texts:
-                ids = codec.encode(t.decode() if t else "")
-                joined = b" ".join(ids)
-                n.append(joined.count(b" ") + 1 if joined else 0)
-                ids_sha.append(hashlib.sha256(joined).hexdigest())
-                text_sha.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+            for ids, many, text in codec.block([t or b"" for t in texts]):
+                n.append(many)
+                ids_sha.append(hashlib.sha256(ids).hexdigest())
+                text_sha.append(hashlib.sha256(text).hexdigest())
             yield pa.RecordBatch.from_pydict({"doc_id": columns["doc_id"].cast(pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())})
 
     return run
 
 
-def _ids(pattern, ranks, known):
+def _ids(pattern, path, known):
     def run(batches):
-        codec = Codec(pattern, ranks, known)
+        codec = Codec(pattern, path, known)
         for columns, texts in B.blocks(batches):
-            ids = [np.array(b" ".join(codec.encode(t.decode() if t else "")).split(), np.int32) for t in texts]
+            ids = [np.array(x.split(), np.int32) for x, _, _ in codec.block([t or b"" for t in texts])]
             yield pa.RecordBatch.from_pydict({"doc_id": columns["doc_id"].cast(pa.int64()), "ids": pa.array(ids, pa.list_(pa.int32()))})
 
     return run
@@ -291,8 +347,7 @@ def _ids(pattern, ranks, known):
 
 def encode_documents(docs: DataFrame, pattern: str, path: str) -> DataFrame:
     """doc_id, ids array<int> of each row of docs (doc_id, text)."""
-    ranks = ranks_of(path)
-    return B.own(docs, "doc_id", "text").mapInArrow(_ids(pattern, ranks, known_words(docs, pattern, path)), "doc_id long, ids array<int>")
+    return B.own(docs, "doc_id", "text").mapInArrow(_ids(pattern, path, known_words(docs, pattern, path)), "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -315,8 +370,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
 
 def digest(docs: DataFrame, pattern: str, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of docs: encoded, then decoded, whole."""
-    ranks = ranks_of(path)
-    return B.own(docs, "doc_id", "text").mapInArrow(_digest(pattern, ranks, known_words(docs, pattern, path)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return B.own(docs, "doc_id", "text").mapInArrow(_digest(pattern, path, known_words(docs, pattern, path)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op7_byte_level_bpe(spark, sf_dir: str) -> DataFrame:

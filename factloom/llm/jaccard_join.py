@@ -11,7 +11,7 @@
    block only the places where enough of both sets is left to reach the overlap; the rest of the block, or all of it, is skipped.
 4. *Answers.* In each reach of sizes that can link at all, the first set of a list is its leader; others are compared with the leader only. A
    set that links takes over the leader's component, which is its answer as far as components go; it is not compared within its component again.
-   A list with more than one component goes on to the next round, where each set outside the largest one meets TRIES others; after ROUNDS rounds
+   A list with more than one component goes on to the next round, where each set outside the largest one meets TRIES others (twice as many each round): those most like their leader, and any; after ROUNDS rounds
    what is left is compared in full, but for pairs whose tokens before are the same too: they meet in that token's list, which
    fits them as well. Two sets that were compared with the same set y have answers that follow from y's: their overlap is
    |x & y| + |z & y| - |y| at least and min(|x & y|, |z & y|) + min(|x - y|, |z - y|) at most. Where a bound decides, the link is given, or the
@@ -323,8 +323,10 @@ def _pairs(percent: int, turn: int, last: bool):
                 for i in small.tolist():
                     others, joined = undecided(i, x.reach(i, percent))
                     if len(others) and not joined:
-                        at = int(x.cls[i] ^ x.token[0]) + turn * TRIES
-                        pairs += [(i, int(others[(at + k) % len(others)])) for k in range(min(TRIES, len(others)))]
+                        many_tries = min(TRIES << (turn - 1), len(others))
+                        central = np.argsort(-x.over[others] / x.n[others], kind="stable")[many_tries - TRIES : 2 * many_tries - TRIES]
+                        any_ = (int(x.cls[i] ^ x.token[0]) + turn + np.arange(many_tries)) % len(others)
+                        pairs += [(i, j) for j in np.unique(others[np.concatenate([central, any_])]).tolist()]
                 out.append((int(x.token[0]), None, False))
             else:
                 lead = 0
@@ -357,7 +359,7 @@ def _verify(percent: int):
     """Each pair with its overlap."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(k, 200) for b in batches for k in range(0, b.num_rows, 200)):
             a, b, na, nb, x, y = (batch.column(i).to_pylist() for i in ("a", "b", "n_a", "n_b", "t_a", "t_b"))
             both = [len(np.intersect1d(np.frombuffer(p, np.int64), np.frombuffer(q, np.int64), assume_unique=True)) for p, q in zip(x, y, strict=True)]
             linked = [100 * o >= percent * (p + q - o) for o, p, q in zip(both, na, nb, strict=True)]

@@ -34,8 +34,8 @@ SAMPLE_TERMS = 16_000_000
 EPOCHS = 12
 #: Sampled texts that a term stands in at least, and standard errors by which its share among toxic and clean ones differs.
 LEAST_DOCUMENTS, LEAST_Z = 4, 4.0
-#: The same for pairs of terms; there are eight million pairs, so that chance goes further.
-PAIR_TERMS, PAIR_DOCUMENTS, PAIR_Z = 4096, 16, 8.0
+#: The same for pairs of terms; there are two million pairs, so that chance goes further.
+PAIR_TERMS, PAIR_DOCUMENTS, PAIR_Z = 2048, 16, 8.0
 _CUT = bytes(32 if (c < 128 and not chr(c).isalnum()) else (c + 32 if 65 <= c <= 90 else c) for c in range(256))
 
 

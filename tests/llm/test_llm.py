@@ -172,10 +172,32 @@ def test_bpe(spark, encoding):
     table = [(w,) for w in ["", "a", " hello", "été", "🙂", " w123w", "zzzzzzzz", " " * 30, "ab" * 20, "aaa aaa", None]]
     for w, ids in bpe.encode_words(spark.createDataFrame(table, "word string"), path).collect():
         assert ids == (None if w is None else encoding._core_bpe.encode_single_piece(w.encode()) if w else [])
+    for w in [b"ab" * n for n in (1, 40, 99)] + [b"zq" * 30, " Donaudampfschifffahrt".encode(), "naïveté".encode()]:
+        assert bpe.fold(w, path) == encoding._core_bpe.encode_single_piece(w)
+    with pytest.raises(Exception, match="not in the ranks"):
+        bpe.decode_documents(spark.createDataFrame([(1, [10**6])], "doc_id long, ids array<int>"), path).collect()
     back = bpe.decode_documents(bpe.encode_documents(frame(spark), public_tokenizers.PATTERN, path), path)
     assert {r[0]: r[1] for r in back.collect()} == {i: t or "" for i, t in enumerate(TEXTS)}
-    ranks = bpe.ranks_of(path)
-    assert bpe.fold(b"ab" * 400, ranks) == encoding._core_bpe.encode_single_piece(b"ab" * 400)
+    assert bpe.fold(b"ab" * 400, path) == encoding._core_bpe.encode_single_piece(b"ab" * 400)
+
+
+def test_bpe_pieces(encoding):
+    """Spaces of all kinds beside single ones, in blocks of many texts."""
+    own = random.Random(4)
+    parts = [" ", " ", " ", " ", "\n", "\t", "\u00a0", "\u2003", "\u3000", "\x1c", "\u0085", "é", "à", "“", "«", "x", "word", "12", "!?", "'s", "中文", "\u2009a", "  ", "\0"]
+    texts = ["".join(own.choices(parts, k=own.randrange(0, 12))).encode() for _ in range(3000)] + [b"", b" ", b" a", b"a ", " ".join(own.choices(WORDS, k=500)).encode()]
+    codec = bpe.Codec(public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    for t, (ids, n, back) in zip(texts, codec.block(texts), strict=True):
+        want = encoding.encode_ordinary(t.decode())
+        assert (ids, n, back) == (" ".join(map(str, want)).encode(), len(want), t)
+
+
+def test_bpe_survives_equal_hashes(monkeypatch, encoding):
+    plain = bpe.B.words_of
+    monkeypatch.setattr(bpe.B, "words_of", lambda *a, **k: (*plain(*a, **k)[:2], plain(*a, **k)[2] % np.uint64(3)))
+    codec = bpe.Codec(public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    for t, (ids, n, back) in zip([b"one two three four five six"] * 2, codec.block([b"one two three four five six"] * 2), strict=True):
+        assert back == t and list(map(int, ids.split())) == encoding.encode_ordinary(t.decode())
 
 
 def test_packing_restores_ids(spark):
