@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one block of rows holds at most (a longer text is a block of its own).
 BLOCK_BYTES = 4 << 20
+BATCH_BYTES = 16 << 20
 
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -24,6 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> None:
+    """Arrow batches of at most BATCH_BYTES in this session: a task holds one in the JVM, in Python, and as objects."""
+    conf = df.sparkSession.conf
+    if int(str(conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "64m")).lower().replace("m", "000000").rstrip("b")) > BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder named by spark.checkpoint.dir.
 
@@ -31,6 +39,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     raise RuntimeError.
     """
     sc = df.sparkSession.sparkContext
+    small_batches(df)
     if sc.getCheckpointDir() is None:
         at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not at and not sc.master.startswith("local["):
@@ -216,6 +225,7 @@ def is_in(x: np.ndarray, among: np.ndarray) -> np.ndarray:
 
 def own(df: DataFrame, *columns: str) -> DataFrame:
     """Only these columns, so that other columns of any name do no harm."""
+    small_batches(df)
     return df.select(*(F.col(f"`{c}`") for c in columns))
 
 

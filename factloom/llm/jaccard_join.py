@@ -39,7 +39,7 @@ SHINGLE, PERCENT = 5, 80
 #: The query's own measure.
 OP6_SHINGLE, OP6_PERCENT = 4, 85
 #: Shingles that one bucket of the index holds on average (packed), and shared ones that it returns at once.
-BUCKET_SHINGLES, SHARED_ROWS = 6_000_000, 1_000_000
+BUCKET_SHINGLES, SHARED_ROWS = 3_000_000, 1_000_000
 _LOWER = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Lists with at most so many pairs across components are compared in full at once.
 FULL = 64
@@ -241,18 +241,32 @@ _COLUMNS = ("token", "before", "cls", "n", "pos", "root", "lead", "lead_n", "ove
 
 
 def _lists(batches):
-    """(columns of numpy arrays) of each token's postings, which come sorted by token, n and pos."""
+    """(columns as numpy arrays, as Python lists, first, last + 1) of each token's postings, which come sorted by token, n and pos."""
     held = None
     for batch in batches:
         a = {x: batch.column(x).to_numpy(zero_copy_only=False) for x in _COLUMNS}
         if held is not None:
             a = {x: np.concatenate([held[x], a[x]]) for x in a}
-        cuts = np.append(np.flatnonzero(np.append(True, a["token"][1:] != a["token"][:-1])), len(a["token"]))
+        cuts = np.append(np.flatnonzero(np.append(True, a["token"][1:] != a["token"][:-1])), len(a["token"])).tolist()
+        plain = {x: a[x][: cuts[-2]].tolist() for x in _COLUMNS[:6]} if len(cuts) > 2 else None
         for s, z in zip(cuts[:-2], cuts[1:-1], strict=True):
-            yield PostingList({x: v[s:z] for x, v in a.items()})
+            yield a, plain, s, z
         held = {x: v[cuts[-2] :] for x, v in a.items()} if len(cuts) > 1 else None
     if held is not None and len(held["token"]):
-        yield PostingList(held)
+        yield held, {x: held[x].tolist() for x in _COLUMNS[:6]}, 0, len(held["token"])
+
+
+#: Lists of at most so many sets are compared in full, one pair after the other.
+SHORT = 8
+
+
+def _short(x, s: int, z: int, percent: int):
+    """Pairs of a short list."""
+    before, cls, n, pos, root = (x[c] for c in _COLUMNS[1:6])
+    for i in range(s, z):
+        for j in range(i + 1, z):
+            if root[i] != root[j] and (before[i] < 0 or before[i] != before[j]) and n[i] * 100 >= n[j] * percent and (100 + percent) * min(n[i] - pos[i], n[j] - pos[j]) >= percent * (n[i] + n[j]):
+                yield (cls[i], cls[j]) if cls[i] < cls[j] else (cls[j], cls[i])
 
 
 class PostingList:
@@ -300,9 +314,16 @@ def _pairs(percent: int, turn: int, last: bool):
 
     def run(batches):
         out, told = [], set()  # told: pairs that this task has given
-        for x in _lists(batches):
-            size = len(x.cls)
-            if size < 2 or (x.root == x.root[0]).all():
+        for columns, plain, s, z in _lists(batches):
+            size = z - s
+            if size <= SHORT:
+                for pair in _short(plain, s, z, percent):
+                    if pair not in told:
+                        told.add(pair)
+                        out.append((*pair, False))
+                continue
+            x = PostingList({c: v[s:z] for c, v in columns.items()})
+            if (x.root == x.root[0]).all():
                 continue
             roots, number, many = np.unique(x.root, return_inverse=True, return_counts=True)
             small = np.flatnonzero(number != many.argmax())

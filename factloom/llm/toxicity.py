@@ -45,7 +45,7 @@ class Terms(dict):
         return at
 
     def of(self, text: bytes | None) -> np.ndarray:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         words = set(text.translate(_CUT).split()) if text else ()
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
@@ -171,6 +171,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that are predicted toxic; columns stay. Without labels of both kinds every row stays."""
     bias, w, v = model_of(docs, labels)
+    B.small_batches(docs)
     if not w.any() and not v.any():
         return docs
 
