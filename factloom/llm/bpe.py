@@ -36,7 +36,7 @@ FREQUENT = 65_536
 FREQUENT_BYTES = 32
 #: Times that a task meets a piece whose words are counted.
 LEAST = 4
-_CACHE, _FOLDED = 400_000, 600_000
+_CACHE = 200_000
 _NO_RANK = 2**31 - 1
 
 
@@ -179,12 +179,6 @@ def encode_words(words: DataFrame, path: str, column: str = "word") -> DataFrame
     return words.withColumn("ids", F.when(n.isNull(), F.lit(None)).when(n == 0, none).otherwise(ids))
 
 
-@functools.cache
-def _folded(path: str) -> dict[str, tuple[bytes, int, bytes]]:
-    """Words that this process has met, with (ids, number of them, decoded bytes): the next task of the process finds them."""
-    return {}
-
-
 #: White space after, or before, a single space: there the pattern may match across the space.
 _WHITE = rb"(?:[\x09-\x0d\x1c-\x20]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)"
 _ACROSS = re.compile(rb"\A | \Z| " + _WHITE + rb"|" + _WHITE + rb" ")
@@ -205,7 +199,7 @@ class Codec(dict):
     def __init__(self, pattern: str, path: str, known: dict[str, bytes] | None = None):
         self.find = regex.compile(pattern).findall
         self.path, self.known = path, known or {}
-        self.words = _folded(path)
+        self.words: dict[str, tuple[bytes, int, bytes]] = {}
         self.bytes_of = {b"%d" % v: k for k, v in ranks_of(path).items()}
 
     def word(self, w: str) -> tuple[bytes, int, bytes]:
@@ -231,10 +225,9 @@ class Codec(dict):
 
     def block(self, texts: list[bytes]):
         """(ids, number of them, decoded bytes) of each text."""
-        if len(self) > _CACHE:
-            self.clear()
-        if len(self.words) > _FOLDED:
-            self.words.clear()
+        for cache in (self, self.words):
+            if len(cache) > _CACHE:
+                cache.clear()
         can = _separable(texts)
         good = [t for t, c in zip(texts, can, strict=True) if c]
         found = iter(self._laid_out(good) if good else ())
@@ -297,7 +290,7 @@ def _frequent(pattern: str):
             for t in texts:
                 if t:
                     count.update(t.split(b" "))
-            if len(count) > _CACHE:
+            if len(count) > 2 * _CACHE:
                 yield told(count)
                 count.clear()
         yield told(count)
