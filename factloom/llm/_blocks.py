@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 #: Spaces that separate words: 0x20 and 0x09-0x0D, which is what bytes.split() cuts at.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one block of rows holds at most (a longer text is a block of its own).
-BLOCK_BYTES = 4 << 20
-BATCH_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
+BATCH_BYTES = 8 << 20
 
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)

@@ -34,9 +34,11 @@ from . import _blocks as B
 FREQUENT = 65_536
 #: Longest of these words in bytes: the fold's steps grow with the square.
 FREQUENT_BYTES = 32
+#: Bytes of a block: its distinct pieces are looked up once.
+BLOCK_BYTES = 4 << 20
 #: Times that a task meets a piece whose words are counted.
-LEAST = 4
-_CACHE = 200_000
+LEAST = 6
+_CACHE = 320_000
 _NO_RANK = 2**31 - 1
 
 
@@ -214,10 +216,8 @@ class Codec(dict):
         found = self.find(text.decode())
         if len(found) == 1:
             return self.word(found[0])
-        if not found:
-            return b"", 0, b""
-        ids, many, decoded = zip(*map(self.word, found), strict=True)
-        return b" ".join(ids), sum(many), b"".join(decoded)
+        each = [self.word(w) for w in found]
+        return b" ".join([x[0] for x in each]), sum([x[1] for x in each]), b"".join([x[2] for x in each])
 
     def __missing__(self, piece: bytes) -> tuple[bytes, int, bytes]:
         got = self[piece] = self.plain(b" " + piece)
@@ -286,11 +286,11 @@ def _frequent(pattern: str):
             return pa.RecordBatch.from_pydict({"word": pa.array(list(words), pa.string()), "n": pa.array(list(words.values()), pa.int64())})
 
         count: Counter = Counter()
-        for _, texts in B.blocks(batches):
+        for _, texts in B.blocks(batches, limit=BLOCK_BYTES):
             for t in texts:
                 if t:
                     count.update(t.split(b" "))
-            if len(count) > 2 * _CACHE:
+            if len(count) > _CACHE:
                 yield told(count)
                 count.clear()
         yield told(count)
@@ -317,7 +317,7 @@ def known_words(docs: DataFrame, pattern: str, path: str) -> dict[str, bytes]:
 def _digest(pattern, path, known):
     def run(batches):
         codec = Codec(pattern, path, known)
-        for columns, texts in B.blocks(batches):
+        for columns, texts in B.blocks(batches, limit=BLOCK_BYTES):
             n, ids_sha, text_sha = [], [], []
             for ids, many, text in codec.block([t or b"" for t in texts]):
                 n.append(many)
@@ -331,7 +331,7 @@ def _digest(pattern, path, known):
 def _ids(pattern, path, known):
     def run(batches):
         codec = Codec(pattern, path, known)
-        for columns, texts in B.blocks(batches):
+        for columns, texts in B.blocks(batches, limit=BLOCK_BYTES):
             ids = [np.array(x.split(), np.int32) for x, _, _ in codec.block([t or b"" for t in texts])]
             yield pa.RecordBatch.from_pydict({"doc_id": columns["doc_id"].cast(pa.int64()), "ids": pa.array(ids, pa.list_(pa.int32()))})
 
