@@ -1,6 +1,8 @@
 """Shared pieces: words of whole texts, bounded blocks of rows, packed blobs, checkpoints."""
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 
@@ -146,8 +148,16 @@ def binary(column: pa.ChunkedArray | pa.Array):
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
 
 
+def released() -> None:
+    """Freed memory goes back to the system: workers live on between tasks, also while a stage has no Python."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the C library has no such call everywhere
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def blocks(batches, text: str = "text", limit: int = BLOCK_BYTES):
     """Rows of Arrow batches as (columns by name, texts as bytes), at most limit bytes of text each; only a block's texts are copied at a time."""
+    released()
     for batch in batches:
         texts, names = binary(batch.column(text)), [n for n in batch.schema.names if n != text]
         start = held = 0
@@ -161,6 +171,8 @@ def blocks(batches, text: str = "text", limit: int = BLOCK_BYTES):
             if a < z:
                 part = batch.slice(a, z - a)
                 yield {n: part.column(n) for n in names}, texts.slice(a, z - a).to_pylist()
+        del batch, texts
+    released()
 
 
 def gathered(pool: list[bytes], which: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -198,6 +210,7 @@ def unpack(blob: bytes) -> list[memoryview]:
 
 def by_key(batches, key: str = "bucket", value: str = "blob"):
     """(key, values) of rows that come sorted by key."""
+    released()
     now, held = None, []
     for batch in batches:
         for k, v in zip(batch.column(key).to_pylist(), batch.column(value).to_pylist(), strict=True):
@@ -208,6 +221,8 @@ def by_key(batches, key: str = "bucket", value: str = "blob"):
             held.append(v)
     if held:
         yield now, held
+    del held
+    released()
 
 
 def heavy(keys: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:

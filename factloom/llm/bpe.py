@@ -38,7 +38,8 @@ FREQUENT_BYTES = 32
 BLOCK_BYTES = 4 << 20
 #: Times that a task meets a piece whose words are counted.
 LEAST = 6
-_CACHE = 320_000
+#: Pieces, and words, that a task remembers.
+CACHE = 320_000
 _NO_RANK = 2**31 - 1
 
 
@@ -198,9 +199,9 @@ class Codec(dict):
     them, decoded bytes). known: ids of some words, made by encode_words, as decimal bytes.
     """
 
-    def __init__(self, pattern: str, path: str, known: dict[str, bytes] | None = None):
+    def __init__(self, pattern: str, path: str, known: dict[str, bytes] | None = None, most: int = CACHE):
         self.find = regex.compile(pattern).findall
-        self.path, self.known = path, known or {}
+        self.path, self.known, self.most = path, known or {}, most
         self.words: dict[str, tuple[bytes, int, bytes]] = {}
         self.bytes_of = {b"%d" % v: k for k, v in ranks_of(path).items()}
 
@@ -226,7 +227,7 @@ class Codec(dict):
     def block(self, texts: list[bytes]):
         """(ids, number of them, decoded bytes) of each text."""
         for cache in (self, self.words):
-            if len(cache) > _CACHE:
+            if len(cache) > self.most:
                 cache.clear()
         can = _separable(texts)
         good = [t for t, c in zip(texts, can, strict=True) if c]
@@ -290,7 +291,7 @@ def _frequent(pattern: str):
             for t in texts:
                 if t:
                     count.update(t.split(b" "))
-            if len(count) > _CACHE:
+            if len(count) > CACHE:
                 yield told(count)
                 count.clear()
         yield told(count)
@@ -314,9 +315,9 @@ def known_words(docs: DataFrame, pattern: str, path: str) -> dict[str, bytes]:
     return {r["word"]: r["ids"].encode() for r in rows.toLocalIterator()}
 
 
-def _digest(pattern, path, known):
+def _digest(pattern, path, known, most):
     def run(batches):
-        codec = Codec(pattern, path, known)
+        codec = Codec(pattern, path, known, most)
         for columns, texts in B.blocks(batches, limit=BLOCK_BYTES):
             n, ids_sha, text_sha = [], [], []
             for ids, many, text in codec.block([t or b"" for t in texts]):
@@ -361,9 +362,12 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def digest(docs: DataFrame, pattern: str, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of docs: encoded, then decoded, whole."""
-    return B.own(docs, "doc_id", "text").mapInArrow(_digest(pattern, path, known_words(docs, pattern, path)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def digest(docs: DataFrame, pattern: str, path: str, remembered: int = CACHE) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of docs: encoded, then decoded, whole.
+
+    remembered: pieces, and words, that a task keeps; fewer take less memory and more time.
+    """
+    return B.own(docs, "doc_id", "text").mapInArrow(_digest(pattern, path, known_words(docs, pattern, path), remembered), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op7_byte_level_bpe(spark, sf_dir: str) -> DataFrame:
