@@ -23,6 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 #: The near-copy stage's own measure; op6's contract (4 and 85) is another.
 NEAR_SHINGLE, NEAR_PERCENT = 5, 80
+#: Pieces that a task of the last stage keeps: by then the stages before it have filled the executors' memory.
+REMEMBERED = 100_000
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id and digests of each row's ids and of the decoded text; a null text is an empty one."""
-    return bpe.digest(docs, public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.digest(docs, public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.tiktoken"), REMEMBERED)
 
 
 STAGES = [
