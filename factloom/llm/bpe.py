@@ -41,6 +41,7 @@ LEAST = 6
 #: Pieces, and words, that a task remembers.
 CACHE = 320_000
 _NO_RANK = 2**31 - 1
+_PLAN_TEXT = "spark.sql.maxPlanStringLength"
 
 
 @functools.cache
@@ -119,7 +120,7 @@ def _pairs_of(path: str) -> tuple[int, str, str, str, str]:
     """
     pairs, single = merges_of(path)
     keys, values = np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs))
-    slots = len(keys) | 1
+    slots = len(keys) // 2 | 1
     by = np.argsort(keys % slots, kind="stable")
     starts = np.searchsorted(keys[by] % slots, np.arange(slots + 1))
     text = lambda x: ",".join(map(str, x))
@@ -312,7 +313,16 @@ def known_words(docs: DataFrame, pattern: str, path: str) -> dict[str, bytes]:
     #: Dealt out before they are encoded, so that the plan that holds the literal is one stage, which is not described again.
     words = B.checkpointed(frequent_words(docs, pattern).select("word").repartition(parts, "word"))
     rows = encode_words(words, path).select("word", F.concat_ws(" ", F.col("ids").cast("array<string>")).alias("ids"))
-    return {r["word"]: r["ids"].encode() for r in rows.toLocalIterator()}
+    before = spark.conf.get(_PLAN_TEXT)
+    spark.conf.set(_PLAN_TEXT, "10000")  # the literal would be written out in each description of the plan
+    try:
+        got = rows.toArrow()
+    finally:
+        spark.conf.set(_PLAN_TEXT, before)
+    known = {w: i.encode() for w, i in zip(got["word"].to_pylist(), got["ids"].to_pylist(), strict=True)}
+    del got
+    B.released()
+    return known
 
 
 def _digest(pattern, path, known, most):

@@ -140,8 +140,12 @@ def fit(rows: list[tuple[int, np.ndarray]]) -> tuple[float, np.ndarray, np.ndarr
 
 
 def model_of(docs: DataFrame, labels: DataFrame):
-    rows = sorted(((r["doc_id"], r["toxic"], bytes(r["terms"])) for r in labelled_sample(docs, labels).collect()))
-    return fit([(y, np.frombuffer(t, np.int32).astype(np.int64)) for _, y, t in rows])
+    found = labelled_sample(docs, labels).toArrow().to_pydict()
+    rows = sorted(zip(found["doc_id"], found["toxic"], found["terms"], strict=True))
+    model = fit([(y, np.frombuffer(t, np.int32).astype(np.int64)) for _, y, t in rows])
+    del found, rows
+    B.released()
+    return model
 
 
 def _scores(model):
