@@ -18,12 +18,17 @@ def lookup(c: Column, values: dict, default) -> Column:
     return out
 
 
-def recency(ts: Column, group: list[str]) -> Column:
-    """0 to 2 by place between the group's first and last time; 0 if they are one."""
-    w = Window.partitionBy(*group)
-    first, last = F.min(ts).over(w), F.max(ts).over(w)
-    span = F.unix_seconds(last) - F.unix_seconds(first)
-    return F.when(span == 0, 0.0).otherwise(F.round(2.0 * (F.unix_seconds(ts) - F.unix_seconds(first)) / span, 4))
+def recency(df: DataFrame, ts: str, group: list[str]) -> DataFrame:
+    """df with recency: 0 to 2 by place between the group's first and last time; 0 if they are one, null without a time.
+
+    First and last times are partial aggregates that are joined back, so no group is sorted or held in one task.
+    """
+    at = F.unix_seconds(F.col(ts).cast("timestamp"))
+    ends = df.groupBy(*(F.col(g).alias(f"of_{g}") for g in group)).agg(F.min(at).alias("of_first"), F.max(at).alias("of_last"))
+    same = [df[g].eqNullSafe(ends[f"of_{g}"]) for g in group]
+    span = F.col("of_last") - F.col("of_first")
+    value = F.when(span == 0, 0.0).otherwise(F.round(2.0 * (at - F.col("of_first")) / span, 4))
+    return df.join(ends, same).select(*(df[c] for c in df.columns), value.alias("recency"))
 
 
 def governing(df: DataFrame, topic: list[str], score: Column, confidence: Column, ts: Column, id_column: str) -> DataFrame:

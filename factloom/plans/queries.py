@@ -215,7 +215,7 @@ def scope_truth(s, d):
 
 @query("SELECT o_orderkey, CASE WHEN b = a THEN 0.0 ELSE round(2.0 * (epoch(o_orderdate)::BIGINT - a) / (b - a), 4) END AS recency FROM (SELECT *, min(epoch(o_orderdate)::BIGINT) OVER (PARTITION BY o_orderpriority) AS a, max(epoch(o_orderdate)::BIGINT) OVER (PARTITION BY o_orderpriority) AS b FROM orders)")
 def recency_authority(s, d):
-    return t(s, d, "orders").select("o_orderkey", A.recency(F.col("o_orderdate").cast("timestamp"), ["o_orderpriority"]).alias("recency"))
+    return A.recency(t(s, d, "orders"), "o_orderdate", ["o_orderpriority"]).select("o_orderkey", "recency")
 
 
 @query("SELECT o_custkey, o_orderkey AS governing, n AS claims FROM (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'F' THEN 100 WHEN 'O' THEN 65 ELSE 40 END DESC, o_totalprice DESC, o_orderdate DESC, o_orderkey) AS r FROM orders) WHERE r = 1")

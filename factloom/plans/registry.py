@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from . import queries as q
+from . import records  # noqa: F401  adds its queries
 
 
 def queries() -> dict:
