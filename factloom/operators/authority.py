@@ -54,3 +54,33 @@ def severity(c: Column) -> Column:
 
 def corroboration(c: Column) -> Column:
     return F.when(c >= 3, "well_corroborated").when(c == 2, "corroborated").otherwise("single_source")
+
+
+#: Review tiers (lower comes first) by family and, where given, one of some flags; the first that fits holds.
+TIERS = (
+    ("quantity_conflict", (), 0),
+    ("vendor_mismatch", ("vendor_scope_quantity_mismatch",), 1),
+    ("scope_exclusion", ("power_vendor_scope_mismatch", "scope_pollution_vendor_vs_written_exclusion", "vendor_scope_pollution_candidate"), 2),
+    ("missing_info", ("raceway_conduit_pathway_missing_info",), 3),
+    ("missing_info", ("certification_testing_export_missing_info",), 4),
+    ("missing_info", ("missing_info_access_gate", "site_access_gate_unknown"), 5),
+    ("missing_info", (), 6),
+    ("site_access", (), 7),
+    ("scope_exclusion", (), 8),
+    ("meeting_decision", (), 9),
+    ("customer_override", (), 10),
+    ("action_item", (), 11),
+)
+#: Tiers of packets without a known anchor, of settled inclusions, and of all others.
+UNKNOWN_TIER, SETTLED_TIER, OTHER_TIER = 92, 85, 40
+
+
+def queue_tier(family: Column, anchor: Column, flags: Column, status: Column) -> Column:
+    """A packet's review tier. Null flags are none; a null anchor is a known one; a null family has OTHER_TIER."""
+    name, marks = F.lower(F.coalesce(anchor, F.lit(""))), F.coalesce(flags, F.array().cast("array<string>"))
+    out = F.when(F.contains(name, F.lit("device:unknown")) | name.isin("site:unknown", "entity:unknown"), UNKNOWN_TIER)
+    out = out.when((family == "scope_inclusion") & (status == "active"), SETTLED_TIER)
+    for of, any_of, tier in TIERS:
+        holds = family == of
+        out = out.when(holds & F.arrays_overlap(marks, F.array(*map(F.lit, any_of))) if any_of else holds, tier)
+    return out.otherwise(OTHER_TIER)

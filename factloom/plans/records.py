@@ -1,9 +1,11 @@
 """Queries of record fields and intervals, with the SQL that gives the same rows."""
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import records as R
+from ..operators import authority as A
 from ..operators import intervals as I
 from .queries import query, t
 
@@ -63,3 +65,19 @@ def interval_coverage(s, d):
     lines = t(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.unix_seconds(F.col("l_shipdate").cast("timestamp")).alias("x"))
     points = lines.join(t(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
     return I.contained(points, _islands(s, d).drop("n"), "o_custkey", "x").select("l_orderkey", "l_linenumber", "low", "high")
+
+
+_FAMILIES = ("quantity_conflict", "vendor_mismatch", "scope_exclusion", "missing_info", "site_access", "meeting_decision", "customer_override", "action_item", "scope_inclusion", "other")
+_FLAGS = ("vendor_scope_quantity_mismatch", "vendor_scope_pollution_candidate", "raceway_conduit_pathway_missing_info", "certification_testing_export_missing_info", "site_access_gate_unknown", "low_confidence_atom")
+_PICK = lambda c, names: f"CASE {c} % {len(names)} " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(names)) + " END"
+_PACKET = {"family": _PICK("o_orderkey", _FAMILIES), "flag": _PICK("o_custkey", _FLAGS), "anchor": "CASE WHEN o_custkey % 11 = 0 THEN 'Device:unknown:x' WHEN o_custkey % 13 = 0 THEN 'site:unknown' ELSE 'site:' || o_custkey END", "status": "CASE WHEN o_orderstatus = 'O' THEN 'active' ELSE 'needs_review' END"}
+_TIER_SQL = "CASE WHEN contains(lower(anchor), 'device:unknown') OR lower(anchor) IN ('site:unknown', 'entity:unknown') THEN 92 WHEN family = 'scope_inclusion' AND status = 'active' THEN 85 " + " ".join(f"WHEN family = '{f}'" + (f" AND flag IN ({', '.join(map(repr, fs))})" if fs else "") + f" THEN {n}" for f, fs, n in A.TIERS) + " ELSE 40 END"
+
+
+@query(f"SELECT o_orderkey, family, {_TIER_SQL} AS tier, row_number() OVER (PARTITION BY family ORDER BY {_TIER_SQL}, anchor, o_orderkey) AS place FROM (SELECT o_orderkey, {', '.join(f'{v} AS {k}' for k, v in _PACKET.items())} FROM orders) QUALIFY place <= 20")
+def review_queue(s, d):
+    """The first 20 packets of each family in a review queue: by tier, anchor and id. Packets are made of orders."""
+    packets = t(s, d, "orders").select("o_orderkey", *(F.expr(v).alias(k) for k, v in _PACKET.items()))
+    packets = packets.withColumn("tier", A.queue_tier(F.col("family"), F.col("anchor"), F.array("flag"), F.col("status")))
+    first = Window.partitionBy("family").orderBy("tier", "anchor", "o_orderkey")
+    return packets.withColumn("place", F.row_number().over(first)).filter("place <= 20").select("o_orderkey", "family", "tier", "place")
