@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from . import queries as q
-from . import evidence, records  # noqa: F401  add their queries
+from . import evidence, records, threads  # noqa: F401  add their queries
 
 
 def queries() -> dict:
