@@ -55,6 +55,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     spark = edges.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         at = spark.conf.get("spark.checkpoint.dir", None)
+        if at is None and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is to name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(at or "file://" + tempfile.mkdtemp(prefix="factloom-", dir=os.environ.get("TMPDIR")))
     now = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
     before = None

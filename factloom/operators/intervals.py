@@ -32,3 +32,38 @@ def contained(points: DataFrame, spans: DataFrame, key: str, at: str) -> DataFra
     both = left.unionByName(right).withColumn("span", F.last(F.when(F.col("kind") == 0, F.struct(F.col("x").alias("low"), F.col("stop").alias("high"))), ignorenulls=True).over(last))
     inside = F.col("k").isNotNull() & (F.col("x") < F.col("span.high"))
     return both.filter("kind = 1").select(*(F.col(f"row.{c}") for c in (at, *names)), F.when(inside, F.col("span.low")).alias("low"), F.when(inside, F.col("span.high")).alias("high"))
+
+
+def coverage(segments: DataFrame, sources: DataFrame, keys: list[str], width: int = 64) -> DataFrame:
+    """id, n_sources, covered: each segment with the number of sources that overlap it in its artifact.
+
+    Both have id, artifact, start, stop (last line; null: start) and the keys. Lines overlap at one line in common, and are not compared if
+    a start is null; keys agree if equal or null on a side. If both have a line or key, one of those must be known on both sides.
+    Rows with lines meet in blocks of `width` lines, where a pair is counted in the block of its later start, so a long artifact is
+    spread over tasks and no pair is made twice; rows without a start meet by their artifact. Sources with equal fields are counted before
+    they are joined. Null artifacts match nothing; a stop before its start overlaps nothing.
+    """
+
+    def side(df, tag):
+        stop = F.coalesce("stop", "start")
+        some = [F.col("artifact").alias("artifact"), F.col("start").alias(f"{tag}_start"), stop.alias(f"{tag}_stop"), *(F.col(k).alias(f"{tag}_{k}") for k in keys)]
+        return df.filter("artifact is not null and (start is null or coalesce(stop, start) >= start)").select(*(["id"] if tag == "g" else []), *some)
+
+    def blocks(df, tag):
+        return df.filter(f"{tag}_start is not null").withColumn("block", F.explode(F.sequence(F.floor(F.col(f"{tag}_start") / width), F.floor(F.col(f"{tag}_stop") / width))))
+
+    left, right = side(segments, "g"), side(sources, "s")
+    right = right.groupBy(*right.columns).agg(F.count("*").alias("n"))
+    agree, known, any_g, any_s = F.lit(True), F.lit(False), F.lit(False), F.lit(False)
+    for k in keys:
+        g, s = F.col(f"g_{k}"), F.col(f"s_{k}")
+        agree = agree & (g.isNull() | s.isNull() | (g == s))
+        known, any_g, any_s = known | (g.isNotNull() & s.isNotNull()), any_g | g.isNotNull(), any_s | s.isNotNull()
+    lined = blocks(left, "g").join(blocks(right, "s"), ["artifact", "block"])
+    lined = lined.filter((F.col("g_start") <= F.col("s_stop")) & (F.col("s_start") <= F.col("g_stop")) & (F.col("block") == F.floor(F.greatest("g_start", "s_start") / width)) & agree)
+    apart = agree & (known | ~((any_g | F.col("g_start").isNotNull()) & (any_s | F.col("s_start").isNotNull())))
+    free = left.filter("g_start is null").join(right, "artifact").filter(apart).select("id", "n")
+    free = free.unionByName(left.filter("g_start is not null").join(right.filter("s_start is null"), "artifact").filter(apart).select("id", "n"))
+    counts = lined.select("id", "n").unionByName(free).groupBy("id").agg(F.sum("n").alias("n_sources"))
+    out = segments.select("id").join(counts, "id", "left").select("id", F.coalesce("n_sources", F.lit(0)).alias("n_sources"))
+    return out.withColumn("covered", F.col("n_sources") > 0)

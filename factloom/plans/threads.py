@@ -21,10 +21,10 @@ def mail_threads(s, d):
     return H.threads(m.select("id", F.concat(F.lit("m"), F.col("id").cast("string")).alias("message_id"), F.array("ref").alias("refs"), "subject_key", "ts"))
 
 
-@query("WITH l AS (SELECT doc_id AS id, source AS thread, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS k, doc_id % 2 = 0 AS quoted FROM documents) SELECT id, CASE WHEN EXISTS (SELECT 1 FROM l o WHERE o.thread = l.thread AND o.k = l.k AND NOT o.quoted) THEN 'authored' ELSE 'quoted' END AS reason FROM l WHERE quoted AND len(k) >= 12 AND EXISTS (SELECT 1 FROM l o WHERE o.thread = l.thread AND o.k = l.k AND (NOT o.quoted OR o.id < l.id))")
+@query("WITH l AS (SELECT doc_id AS id, lang AS thread, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS k, doc_id % 2 = 0 AS quoted FROM documents) SELECT id, CASE WHEN EXISTS (SELECT 1 FROM l o WHERE o.thread = l.thread AND o.k = l.k AND NOT o.quoted) THEN 'authored' ELSE 'quoted' END AS reason FROM l WHERE quoted AND len(k) >= 12 AND EXISTS (SELECT 1 FROM l o WHERE o.thread = l.thread AND o.k = l.k AND (NOT o.quoted OR o.id < l.id))")
 def quoted_echoes(s, d):
-    """Every other document as a quoted line of its source's thread: those whose text the source has otherwise."""
-    return H.quoted_echoes(t(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("thread"), "text", (F.col("doc_id") % 2 == 0).alias("quoted")))
+    """Every other document as a quoted line of its language's thread: those whose text the language has otherwise."""
+    return H.quoted_echoes(t(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("thread"), "text", (F.col("doc_id") % 2 == 0).alias("quoted")))
 
 
 _PERSON = "CASE c_custkey % 3 WHEN 0 THEN 's' || cast(c_custkey % 700 as varchar(20)) WHEN 1 THEN 'j_s' || cast(c_custkey % 500 as varchar(20)) ELSE 'ann' || cast(c_custkey % 2 as varchar(20)) || '_s' || cast(c_custkey % 900 as varchar(20)) END"

@@ -63,3 +63,40 @@ def test_confidence_is_bounded(spark):
     b = F.col("b")
     got = df.select(L.confidence(b, F.col("c"), b, ~b, F.col("t"), b, F.col("n"), b).alias("x"), L.packet_confidence(F.col("c"), b).alias("y")).collect()
     assert [tuple(r) for r in got] == [(0.99, 0.85), (0.35, 0.0)]
+
+
+def test_coverage_of_segments(spark):
+    import itertools
+
+    segments = [(i, a, x, y, k) for i, (a, x, y, k) in enumerate(itertools.product(("p", None), (None, 0, 63, 130), (None, 64, 200), (None, 1)))]
+    sources = [(0, a, x, y, k) for a, x, y, k in itertools.product(("p", "q", None), (None, 5, 64), (None, 3, 64, 140), (None, 1, 2))] * 2
+
+    def matches(g, s):
+        if g[1] is None or g[1] != s[1] or any(r[2] is not None and r[3] is not None and r[3] < r[2] for r in (g, s)):
+            return False
+        if g[4] is not None and s[4] is not None and g[4] != s[4]:
+            return False
+        if g[2] is not None and s[2] is not None:
+            return s[2] <= (g[2] if g[3] is None else g[3]) and g[2] <= (s[2] if s[3] is None else s[3])
+        of = [{"line": r[2], "sheet": r[4]} for r in (g, s)]
+        has = [{k for k, v in f.items() if v is not None} for f in of]
+        return not (has[0] and has[1]) or bool(has[0] & has[1])
+
+    from factloom.operators import intervals
+
+    names = "id int, artifact string, start int, stop int, sheet int"
+    got = {r["id"]: r["n_sources"] for r in intervals.coverage(spark.createDataFrame(segments, names), spark.createDataFrame(sources, names), ["sheet"], 64).collect()}
+    assert got == {g[0]: sum(matches(g, s) for s in sources) for g in segments} and any(got.values())
+
+
+def test_votes_of_neighbours(spark):
+    from factloom.operators import retrieval as R
+
+    rows = [(1, 0, 0.9), (1, 0, 0.8), (1, 1, 0.9), (2, 0, 0.1), (3, 2, 0.5), (3, 1, 0.5), (4, 1, -0.2), (4, 0, 0.9)]
+    sizes = spark.createDataFrame([(0, 100), (1, 1), (2, 1)], "label int, n long")
+    got = {r["query_id"]: (r["label"], r["confidence"]) for r in R.confident_vote(spark.createDataFrame(rows, "query_id int, label int, sim double"), sizes, 0.2, 0.15).collect()}
+    assert got == {1: (1, round((0.9 - 0.17) / (1.07 + 1e-9), 6)), 2: (None, 0.0), 3: (None, 0.0), 4: (0, 1.0)}
+    items = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id int, v array<double>")
+    exemplars = spark.createDataFrame([([1.0, 0.0], True), ([0.0, 1.0], False)], "e array<double>, positive boolean")
+    assert {tuple(r) for r in R.margin(items, exemplars).collect()} == {(1, 1.0), (2, -0.35)}
+    assert {tuple(r) for r in R.margin(items, exemplars.filter("false")).collect()} == {(1, 0.0), (2, 0.0)}
